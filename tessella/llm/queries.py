@@ -4,7 +4,11 @@ from importlib import import_module
 
 MODULES = {
     "op2_mix_sources": "mixing",
+    "op3_media_sequences": "media",
     "op5_token_rollup": "rollup",
+    "op6_quality_rules": "quality",
+    "op9_lm_scores": "logbilinear",
+    "op10_order_minhash": "order_minhash",
 }
 QUERIES, ORACLES = {}, {}
 for _name, _module in MODULES.items():
