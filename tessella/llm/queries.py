@@ -7,6 +7,7 @@ MODULES = {
     "op3_media_sequences": "media",
     "op5_token_rollup": "rollup",
     "op6_quality_rules": "quality",
+    "op7_toxicity": "toxicity",
     "op9_lm_scores": "logbilinear",
     "op10_order_minhash": "order_minhash",
 }
