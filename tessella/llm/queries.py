@@ -3,6 +3,7 @@
 from importlib import import_module
 
 MODULES = {
+    "op1_sentencepiece": "sentencepiece_codec",
     "op2_mix_sources": "mixing",
     "op3_media_sequences": "media",
     "op5_token_rollup": "rollup",
