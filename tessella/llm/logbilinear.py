@@ -32,7 +32,7 @@ from tessella.llm.common import cut, table
 
 OUTPUTS, CLASSES, DIM = 1024, 128, 16
 NOISE, BATCH, RATE, ROUNDS, STRIDE, SEED = 48, 512, 0.15, 2, 5, 3
-HEAD, LONGEST, ADD = 1 << 19, 64, 0.1
+HEAD, LONGEST, ADD = 1 << 21, 64, 0.1
 END = b""  # no word is empty
 
 
@@ -242,7 +242,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     voc = Vocabulary(counts)
     model = fit(training, voc)
     shared = spark.sparkContext.broadcast((voc, model.flat()))
-    fp = F.md5(F.coalesce("text", F.lit("")))
+    fp = F.xxhash64(F.coalesce("text", F.lit("")))  # beside doc_id it tells rows apart that share one
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, flat = shared.value
@@ -275,8 +275,8 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
                 take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi].take(take), b.column(1)[lo:hi].take(take), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["doc_id", "fp", "token", "n"])
 
-    first = docs.select("doc_id", "held_out", fp.alias("fp"), "text").mapInArrow(heads, "doc_id long, held_out boolean, fp string, n_tokens long, h_known long, h_base double, h_score double")
-    rest = docs.select("doc_id", fp.alias("fp"), "text").mapInArrow(tails, "doc_id long, fp string, token binary, n long")
+    first = docs.select("doc_id", "held_out", fp.alias("fp"), "text").mapInArrow(heads, "doc_id long, held_out boolean, fp long, n_tokens long, h_known long, h_base double, h_score double")
+    rest = docs.select("doc_id", fp.alias("fp"), "text").mapInArrow(tails, "doc_id long, fp long, token binary, n long")
     z = F.element_at(F.array(*[F.lit(float(x)) for x in voc.class_z]), (F.pmod(F.crc32(F.substring("token", -2, 2)), F.lit(CLASSES)) + 1).cast("int"))
     c = F.coalesce("c", F.lit(0))
     few = rest.join(counts.where(~is_head(voc.n)), "token", "left").groupBy("doc_id", "fp").agg(
