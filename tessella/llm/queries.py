@@ -6,9 +6,11 @@ MODULES = {
     "op1_sentencepiece": "sentencepiece_codec",
     "op2_mix_sources": "mixing",
     "op3_media_sequences": "media",
+    "op4_phrase_automata": "phrase_dedup",
     "op5_token_rollup": "rollup",
     "op6_quality_rules": "quality",
     "op7_toxicity": "toxicity",
+    "op8_suffix_dedup": "suffix_dedup",
     "op9_lm_scores": "logbilinear",
     "op10_order_minhash": "order_minhash",
 }
