@@ -85,7 +85,9 @@ class Rollup:
         """(source, lang, tokenizer, n_docs, n_tokens) of all committed batches; keys without documents are left out."""
         base = self._base()
         paths = ([base] if base else []) + [f"{self.path}/batch={b}" for b in self.batches()]
-        rows = self.spark.read.schema(SCHEMA).option("basePath", self.path).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+        rows = self.spark.createDataFrame([], SCHEMA)
+        for p in paths:  # a batch's folder names no column of the table
+            rows = rows.unionByName(self.spark.read.schema(SCHEMA).option("basePath", p).parquet(p))
         sums = rows.groupBy(*KEY).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 

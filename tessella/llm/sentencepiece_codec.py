@@ -110,7 +110,10 @@ class Codec:
 
         m = self.model
         if m.kind == UNIGRAM:
-            out = Tokenizer(models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unk_id, byte_fallback=m.byte_fallback))
+            # Text must not match control pieces, nor byte pieces where any other path is there.
+            least = min([s for _, s, t in m.pieces if t == NORMAL], default=0.0)
+            vocab = [(f"\U0010fffd{i}" if t == CONTROL else p, 7 * (least - 10) if t == BYTE else s) for i, (p, s, t) in enumerate(m.pieces)]
+            out = Tokenizer(models.Unigram(vocab, unk_id=m.unk_id, byte_fallback=m.byte_fallback))
         else:
             score = {p: s for p, s, t in m.pieces if t in (NORMAL, USER_DEFINED)}
             made = sorted(((-s, i, p) for i, (p, s, t) in enumerate(m.pieces) if t == NORMAL and len(p) > 1))
