@@ -2,8 +2,10 @@
 
 Byte n-grams of every text are hashed into BUCKETS counters, once for the raw corpus (all documents) and once for a
 trusted target (documents that the labels call good). A text's score is the mean over its n-grams of
-log(p_target / p_raw), both multinomials smoothed; the mean makes long and short texts comparable. Every document is
-kept or rejected by comparing its score with one threshold, so equal texts always share a verdict.
+log(p_target / p_raw), the mean makes long and short texts comparable. Both multinomials are smoothed by comparing the
+target's count with the count that the raw corpus lets expect, each plus SMOOTH: a few unseen n-grams weigh little, and a
+small target cannot reject much. Every document is kept or rejected by comparing its score with one threshold, so equal
+texts always share a verdict.
 
 The target may be a bounded sample of the labelled rows: TRUSTED_ROWS, those with the smallest hashes. Raw counts
 cover all documents. Counters are BUCKETS numbers whatever the input; nothing else reaches the driver.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import by_size, table
 
-GRAM, BUCKETS, ALPHA, THRESHOLD, TRUSTED_ROWS = 4, 1 << 17, 0.5, -0.5, 20_000
+GRAM, BUCKETS, SMOOTH, THRESHOLD, TRUSTED_ROWS = 4, 1 << 17, 4.0, -0.3, 20_000
 BLANK, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -103,8 +105,7 @@ def weights(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS
     raw, good = counters(docs, np.array([r[0] for r in ids.collect()], np.int64))
     if not good.sum():
         return np.zeros(BUCKETS, np.float32)
-    p = lambda c: np.log((c + ALPHA) / (c.sum() + ALPHA * BUCKETS))
-    return (p(good) - p(raw)).astype(np.float32)
+    return np.log((good + SMOOTH) / (good.sum() * raw / raw.sum() + SMOOTH)).astype(np.float32)
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
