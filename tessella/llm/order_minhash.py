@@ -1,15 +1,21 @@
 """Near-duplicates by Order MinHash: sketches that keep the order of k-mers, checked by a banded alignment.
 
 A text's k-mers are its runs of K words, each labelled with how often it has occurred so far, so that repeats count.
-One sketch takes the ORDER k-mers with the smallest hashes and keeps them in the order of the text; two texts agree on
-a sketch only if they share those k-mers in that order, which makes agreement follow edit similarity and not the
-bag of words. SKETCHES independent sketches are buckets. In a bucket all texts are compared with the smallest one; those
-that are not linked to it go on to a next round with a smallest one of their own, until no bucket has two left, so a
-bucket of any size costs its members and not their pairs, and no bucket has a cap. A pair is linked if an alignment
-within the band of diagonals that the threshold allows finds aligned / (n + m - aligned) >= SIMILARITY for the two k-mer
-sequences. Links make classes: connected components.
-
-Chance of missing a pair of similarity s: about (1 - s ** ORDER) ** SKETCHES, under 1e-5 at 0.8.
+One hash deals the k-mers to BINS bins and the smallest of each bin is sampled; an empty bin borrows from the next one.
+A sketch is the sampled k-mers of ORDER fixed bins in the order of the text; two texts agree on a sketch only if they
+sampled the same k-mers there and have them in the same order, which makes agreement follow edit similarity and not the
+bag of words. SKETCHES such sketches are buckets.
+
+In a bucket all texts are compared with one, the text that shares most buckets with others: the hub of its copies. Those
+that are not linked to it go on to a next round with a hub of their own, until no bucket has two left, so a round costs
+a bucket its members and not their pairs, and no bucket has a cap. What is left of a bucket of more than SMALL texts
+after a round goes on in buckets of one more common sketch each, of the next REACH sketches. A pair is linked if an alignment within the band of
+diagonals that the threshold allows finds aligned / (n + m - aligned) >= SIMILARITY for the two k-mer sequences. Links
+make classes: connected components.
+
+Chance that two texts of similarity s share no bucket: about (1 - s ** ORDER) ** SKETCHES, under 2e-5 at 0.8; that no
+two of their common sketches are within REACH: about 2e-3 at 0.8, 1e-5 at 0.85. The latter matters only for texts that
+are in crowded buckets and are not linked to a hub.
 Equal texts are one node. Defined cases: a null text is empty; texts without words are alike; texts under K words are
 one k-mer; a null doc_id takes part by its text and class_id is the smallest doc_id of the class that is not null;
 repeated rows each get a row; empty tables give empty results; other columns are not read.
@@ -17,6 +23,7 @@ repeated rows each get a row; empty tables give empty results; other columns are
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, table
+from tessella.llm.common import cut, release, table
 from tessella.llm.components import components
 
-K, ORDER, SKETCHES, SIMILARITY, SEED = 5, 3, 16, 0.8, 11
+K, ORDER, SKETCHES, BINS, SIMILARITY, SEED = 5, 8, 60, 128, 0.8, 11
+SMALL, REACH, DEEPEST = 4, 12, 5
+CHOSEN = np.stack([np.random.default_rng(SEED + i).permutation(BINS)[:ORDER] for i in range(SKETCHES)])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -71,18 +80,25 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(words: list[bytes], order: int = ORDER, n: int = SKETCHES, k: int = K) -> np.ndarray:
-    """n signed 64-bit numbers, one a sketch."""
-    x = labelled(kmer_hashes(words, k))
-    out = np.empty(n, np.uint64)
-    for i in range(n):
-        h = mix(x ^ np.uint64((SEED + i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        at = np.sort(np.argpartition(h, order - 1)[:order]) if len(h) > order else np.arange(len(h))
-        acc = i + 1
-        for v in x[at].tolist():
-            acc = (acc * 0x9E3779B97F4A7C15 + v) & (1 << 64) - 1
-        out[i] = acc
-    return mix(out).view(np.int64)
+def samples(x: np.ndarray, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bin the smallest hash and its place in the text; bins are ranges of hashes."""
+    h = mix(x ^ np.uint64(SEED * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    order = np.argsort(h)
+    ordered = h[order]
+    shift = np.uint64(65 - bins.bit_length())
+    first = np.searchsorted(ordered, np.arange(bins, dtype=np.uint64) << shift)
+    first[first == len(h)] = 0  # behind the last hash comes the first
+    return ordered[first], order[first]
+
+
+def sketches(words: list[bytes], k: int = K) -> np.ndarray:
+    """SKETCHES signed 64-bit numbers."""
+    values, places = samples(labelled(kmer_hashes(words, k)))
+    at = np.take_along_axis(CHOSEN, np.argsort(places[CHOSEN], axis=1, kind="stable"), axis=1)
+    acc = np.arange(1, SKETCHES + 1, dtype=np.uint64)
+    for v in values[at].T:
+        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + v)
+    return acc.view(np.int64)
 
 
 def aligned(a: list, b: list, band: int) -> int:
@@ -92,14 +108,17 @@ def aligned(a: list, b: list, band: int) -> int:
     """
     where: dict = {}
     for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
+        where.setdefault(x, []).append(i)
     width = 2 * band + 1
     mask = v = (1 << width) - 1
     lo = -band
     found = 0
     for x in b:
-        m = where.get(x, 0)
-        m = (m >> lo if lo >= 0 else m << -lo) & mask
+        m = 0
+        if (at := where.get(x)) is not None:
+            for i in at if len(at) < 8 else at[bisect_left(at, lo) : bisect_right(at, lo + width - 1)]:
+                if 0 <= i - lo < width:
+                    m |= 1 << i - lo
         if m:
             u = v & m
             v = ((v + u) | (v - u)) & mask
@@ -163,46 +182,79 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
+def deeper(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each member in the buckets of its own bucket's key and one of the next sketches."""
+    later = F.posexplode(F.slice("sketch", F.col("last") + 2, F.lit(REACH))).alias("_k", "_value")
+    each = left.join(nodes.select("fp", "sketch"), "fp").select("fp", "shared", "bucket", "depth", "last", later)
+    at = F.col("last") + 1 + F.col("_k")
+    return each.select(F.xxhash64("bucket", at, "_value").alias("bucket"), at.alias("last"), (F.col("depth") + 1).alias("depth"), "shared", "fp")
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """(u, v) of linked texts by fingerprint; nodes (fp, first_id, sketch) has one row a text. None: no two agree."""
-    members = cut(nodes.select("fp", F.explode("sketch").alias("bucket")), "buckets")
-    lead = lambda m: cut(m.groupBy("bucket").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a"), "leaders")
-    leaders = lead(members)
-    members = cut(members.join(leaders, "bucket").select("bucket", "a", F.col("fp").alias("b")), "members")
-    if members.isEmpty():
+
+    def met(members: DataFrame) -> DataFrame:
+        """Members (as b) of buckets that have two or more, with their bucket's hub, a, and size, n."""
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("shared", "fp")).alias("hub")).where("n > 1")
+        few = cut(sizes.select("bucket", "n", F.col("hub.fp").alias("a")), "hubs")
+        return cut(members.join(few, "bucket").withColumnRenamed("fp", "b"), "members")
+
+    flat = nodes.select("fp", F.posexplode("sketch").alias("last", "bucket"))
+    sizes = cut(flat.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    crowd = cut(flat.join(sizes, "bucket"), "crowd")
+    shared = cut(crowd.groupBy("fp").agg(F.sum("m").alias("shared")), "shared")
+    if shared.isEmpty():
         return None
-    wanted = cut(members.select(F.col("b").alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp"), "wanted")
+    members = met(crowd.drop("m").join(shared, "fp").withColumn("depth", F.lit(0)))
+    wanted = cut(shared.select("fp").join(nodes.select("fp", "first_id"), "fp"), "wanted")
     own = docs.select(fingerprint().alias("fp"), F.col("doc_id").alias("first_id"), "text")
-    some = own.join(wanted.withColumnRenamed("fp", "_fp").withColumnRenamed("first_id", "_id"), (F.col("fp") == F.col("_fp")) & F.col("first_id").eqNullSafe(F.col("_id")), "left_semi")
+    some = own.join(wanted.withColumnsRenamed({"fp": "_fp", "first_id": "_id"}).hint("merge"), (F.col("fp") == F.col("_fp")) & F.col("first_id").eqNullSafe(F.col("_id")), "left_semi")
     texts = cut(some.select("fp", "text").dropDuplicates(["fp"]), "texts")
+    release(docs.sparkSession)
     found: list[DataFrame] = []
-    while True:
+    while not members.isEmpty():
+        release(docs.sparkSession)
         checked = cut(verify(members.where("a <> b").select("a", "b").distinct(), texts), "checked")
         found.append(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        left = cut(members.join(checked.where("not linked").select("a", "b"), ["a", "b"], "left_semi").select("bucket", F.col("b").alias("fp")), "left")
-        leaders = lead(left)
-        members = cut(left.join(leaders, "bucket").select("bucket", "a", F.col("fp").alias("b")), "members")
-        if members.isEmpty():
-            break
+        left = cut(members.join(checked.where("not linked").select("a", "b"), ["a", "b"], "left_semi").withColumnRenamed("b", "fp").drop("a"), "left")
+        down = (F.col("n") > SMALL) & (F.col("depth") < DEEPEST)
+        stay = left.where(~down).select("bucket", "last", "depth", "shared", "fp")
+        members = met(cut(stay.unionByName(deeper(left.where(down), nodes)), "next"))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
     return out
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, text_id (the smallest doc_id with this very text) and class_id (of its class)."""
+def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (fp, doc_id), and texts (fp, text_id, class_id, leads); in each class one text leads."""
     rows = sketched(docs)
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")), "nodes")
     edges = links(docs, nodes)
     ids = nodes.select("fp", F.col("first_id").alias("text_id"))
     if edges is None:
-        of = ids.withColumn("class_id", F.col("text_id"))
-    else:
-        labels = cut(ids.join(components(edges).withColumnRenamed("node", "fp"), "fp"), "labelled")
-        least = labels.groupBy("label").agg(F.min("text_id").alias("class_id"))
-        of = ids.join(cut(labels.join(cut(least, "least"), "label").select("fp", "class_id"), "linked"), "fp", "left").withColumn("class_id", F.coalesce("class_id", "text_id"))
-    return rows.select("fp", "doc_id").join(cut(of, "classes"), "fp").select("doc_id", "text_id", "class_id")
+        return rows, ids.withColumns({"class_id": F.col("text_id"), "leads": F.lit(True)})
+    labels = cut(ids.join(components(edges).withColumnRenamed("node", "fp"), "fp"), "labelled")
+    first = F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "fp"))
+    least = cut(labels.groupBy("label").agg(first.alias("first")), "least")
+    linked = cut(labels.join(least, "label").select("fp", F.col("first.text_id").alias("class_id"), (F.col("fp") == F.col("first.fp")).alias("leads")), "linked")
+    of = ids.join(linked, "fp", "left").select("fp", "text_id", F.when(F.col("leads").isNull(), F.col("text_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("leads", F.lit(True)).alias("leads"))
+    return rows, cut(of, "classes")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, text_id (the smallest doc_id with this very text) and class_id (of its class)."""
+    rows, of = classed(docs)
+    return rows.select("fp", "doc_id").join(of, "fp").select("doc_id", "text_id", "class_id")
+
+
+def first_of_classes(docs: DataFrame) -> DataFrame:
+    """The document of each class with the smallest doc_id, with all its columns; of rows that repeat it, one."""
+    _, of = classed(docs)
+    lead = of.where("leads").select(F.col("fp").alias("_lead_fp"), F.coalesce(F.col("text_id").cast("string"), F.lit("")).alias("_lead_id"))
+    own = docs.select("*", fingerprint().alias("_own_fp"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_own_id"))
+    chosen = own.join(lead, (F.col("_own_fp") == F.col("_lead_fp")) & (F.col("_own_id") == F.col("_lead_id")), "left_semi")
+    return chosen.dropDuplicates(["_own_fp", "_own_id"]).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
