@@ -84,17 +84,28 @@ def ratio_score(a: str, b: str) -> float:
 
 
 def partial_score(a: str, b: str) -> float:
-    """The best ratio of the shorter string and a stretch of the longer one that is as long or cut off by an end."""
+    """The best ratio of the shorter string and a stretch of the longer one that is as long or cut off by an end.
+
+    A stretch that moves by one place gains at most one match, so places that cannot beat the best are passed over.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n = len(a)
-    stretches = {b[max(0, i) : i + n] for i in range(1 - n, len(b))}
-    best = max(ratio_score(a, s) for s in stretches if s)
-    if len(b) == n:
-        best = max(best, max(ratio_score(b, a[max(0, i) : i + n]) for i in range(1 - n, n)))
-    return best
+    n, best, i = len(a), 0, 0
+    while i + n <= len(b):
+        got = common_subsequence(a, b[i : i + n])
+        i += max(1, best - got + 1)
+        best = max(best, got)
+    score = 100 * best / n
+    for k in range(n - 1, 0, -1):  # stretches at the ends
+        if 200 * k / (n + k) <= score:
+            break
+        ends = [ratio_score(a, b[:k]), ratio_score(a, b[-k:])]
+        if len(b) == n:
+            ends += [ratio_score(b, a[:k]), ratio_score(b, a[-k:])]
+        score = max(score, *ends)
+    return score
 
 
 def token_sort_score(a: str, b: str) -> float:

@@ -40,25 +40,32 @@ def exact_candidates(queries: DataFrame, index: DataFrame, key: Column, k: int)
 
 
 def postings(records: DataFrame, tokens: Column) -> DataFrame:
-    """(id, country, term, tf): how often each record has each term."""
-    each = records.select(F.col("entity_id").alias("id"), "country", F.explode(tokens).alias("term"))
-    return each.groupBy("id", "country", "term").agg(F.count("*").alias("tf"))
+    """(id, country, term, tf, first): how often each record has each term, counted within its row; `first` marks one
+    posting of each record. Records have unique ids."""
+    t = records.select(F.col("entity_id").alias("id"), "country", tokens.alias("_t"))
+    each = t.select("id", "country", "_t", F.posexplode(F.array_distinct("_t")).alias("_n", "term"))
+    return each.select("id", "country", "term", (F.size("_t") - F.size(F.array_remove("_t", F.col("term")))).alias("tf"), (F.col("_n") == 0).alias("first"))
 
 
 def idf(index: DataFrame, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
     """(country, term, df, idf) of a postings table: ln((1 + n) / (1 + df)) + 1 with n the country's records that have
     terms. Terms in fewer than min_df records or more than max_df of the country's are left out."""
-    n = index.groupBy("country").agg(F.count_distinct("id").alias("n"))
-    df = index.groupBy("country", "term").agg(F.count("*").alias("df"))
+    df = index.groupBy("country", "term").agg(F.count("*").alias("df"), F.count_if("first").alias("_first"))
+    n = df.groupBy("country").agg(F.sum("_first").alias("n"))
     kept = df.join(n, "country").where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n")))
     return kept.select("country", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def weighted(x: DataFrame) -> DataFrame:
+    """(id, country, term, w) of (id, country, term, x): x over the record's Euclidean norm, in one grouping by record."""
+    per = x.groupBy("id", "country").agg(F.collect_list(F.struct("term", "x")).alias("_p"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
+    return per.select("id", "country", "_norm", F.inline("_p")).select("id", "country", "term", (F.col("x") / F.col("_norm")).alias("w"))
+
+
 def weights(table: DataFrame, idf_table: DataFrame) -> DataFrame:
-    """(id, country, term, w): tf * idf over the record's Euclidean norm; terms without idf count for nothing."""
-    t = table.join(idf_table.select("country", "term", "idf"), ["country", "term"]).withColumn("x", F.col("tf") * F.col("idf"))
-    norm = t.groupBy("id", "country").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return t.join(norm, ["id", "country"]).select("id", "country", "term", (F.col("x") / F.col("norm")).alias("w"))
+    """(id, country, term, w): tf * idf over the record's norm; terms without idf count for nothing."""
+    t = table.join(idf_table.select("country", "term", "idf"), ["country", "term"])
+    return weighted(t.select("id", "country", "term", (F.col("tf") * F.col("idf")).alias("x")))
 
 
 def products(q: DataFrame, c: DataFrame, on: list[str]) -> DataFrame:
@@ -88,10 +95,8 @@ class TfidfBlocker:
             known = post.select("country").distinct()
             far = asked.join(known, "country", "left_anti").drop("country")
             own = table.select("country", "term", "idf")
-            spread = far.join(own, "term").withColumn("x", F.col("tf") * F.col("idf"))
-            norm = spread.groupBy("id", "country").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-            far = spread.join(norm, ["id", "country"]).select("id", "country", "term", (F.col("x") / F.col("norm")).alias("w"))
-            scored = scored.unionByName(products(far, held, ["country", "term"]))
+            spread = far.join(own, "term").select("id", "country", "term", (F.col("tf") * F.col("idf")).alias("x"))
+            scored = scored.unionByName(products(weighted(spread), held, ["country", "term"]))
         return top_k(scored, k)
 
 

@@ -268,7 +268,7 @@ def _(rec):
 
 @query("word_tokens", sql(r"SELECT entity_id, term, tf FROM t", r"t AS (SELECT entity_id, term, count(*) AS tf FROM (SELECT entity_id, unnest(regexp_extract_all(lower(business_name), '[\p{L}\p{N}_]{2,}')) AS term FROM rec) GROUP BY ALL)"))
 def _(rec):
-    return B.postings(rec, T.word_tokens(F.col("business_name"), "strict")).select(F.col("id").alias("entity_id"), "term", "tf")
+    return typed(B.postings(rec, T.word_tokens(F.col("business_name"), "strict")).select(F.col("id").alias("entity_id"), "term", "tf"))
 
 
 @query("padded_grams", sql(r"""SELECT entity_id, gram, count(*) AS n FROM (SELECT entity_id, unnest(list_concat(list_transform(range(1, greatest(length(p) - 1, 1)), lambda i: substr(p, i::INT, 3)), list_transform(range(1, greatest(length(p) - 2, 1)), lambda i: substr(p, i::INT, 4)))) AS gram
