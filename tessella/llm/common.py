@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import gc
+import hashlib
+import pickle
+import sys
 import tempfile
+import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +38,16 @@ def write_table(df: DataFrame, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later stages and lost executors start from the files."""
     spark = df.sparkSession
-    return spark.read.schema(df.schema).parquet(write_table(df, name))
+    path = write_table(df, name)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of cut() that no plan reads any more."""
+    for t in tables:
+        drop_table(t.sparkSession, t._written_to)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
@@ -43,19 +57,34 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished plans that nothing refers to."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner delete the shuffle files of finished plans that nothing refers to. Python lets go of its
+    handles in the first turn, the JVM of the plans in the second."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def blocks(docs: DataFrame, text: str = "text", per_block: int = 6 << 20, least: int = 240) -> int:
     """How many blocks of about per_block characters hold all texts; it follows the input."""
     chars = docs.agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + 64)).first()[0] or 0
-    return max(least, -(-chars // per_block))
+    return min(max(least, -(-chars // per_block)), 1 << 30)
+
+
+def ship(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object with the classes it needs, so that executors need no copy of this package. For objects of a
+    bounded size."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
-def pieces(columns: Iterable[str]) -> list:
-    return [F.col(f"`{c}`") for c in columns]
+def received(shared: Broadcast) -> object:
+    """What ship() sent. A Python worker keeps the last such object for its next tasks, with what it remembers."""
+    kept = sys.__dict__.setdefault("_tessella_received", {})
+    key = hashlib.md5(shared.value).digest()
+    if key not in kept:
+        kept.clear()
+        kept[key] = pickle.loads(shared.value)
+    return kept[key]
 
 
 def by_size(rows: Iterator[tuple], size, most: int = 8 << 20) -> Iterator[list[tuple]]:

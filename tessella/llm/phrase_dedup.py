@@ -1,12 +1,15 @@
 """Substring dedup by repeated-phrase automata.
 
-A window is WIDTH consecutive words of one document. Windows that start in two documents are found by hash (two
-64-bit sums over hashed words), first by their anchors and then one by one; what two documents share is a recurring
-phrase, with the smallest doc_id that has it. Every block of documents is a shard: it gets the recurring phrases of its
-own texts, confirms them against the words, compiles them into an Aho-Corasick automaton over numbered words
-(pyahocorasick, key sequences), and streams all of its documents through it, which locates every occurrence. A word is
-removed if an occurrence that covers it has a smaller doc_id than its document. Matching compares words, so equal
-hashes of different phrases remove nothing. A phrase that a third of all documents share costs each block one pattern.
+A window is WIDTH consecutive words of one document. Windows that start in two documents are found by 128-bit hashes
+over hashed words: first by their anchors, then by segments (runs of windows with one anchor), of which most are the
+same wherever their anchor is, and only where segments of an anchor differ window by window. What two documents share is
+a recurring phrase, with the smallest doc_id that has it. Every block of documents gets the recurring phrases that one
+of its own documents loses. Its documents are parted into shards of about SHARD bytes; a shard reads its phrases' words
+where they stand first, compiles them into an Aho-Corasick automaton (pyahocorasick) over words written as two letters
+each, and streams all of its documents through it, which locates every occurrence; one that does not begin with a word's
+first letter is none. A segment that is the same wherever its anchor is makes one pattern. A word is removed if an
+occurrence that covers it has a smaller doc_id than its document. A phrase that a third of all documents share costs
+each shard one pattern.
 
 Defined cases: a null text has no words; texts under WIDTH words lose none; rows that repeat a doc_id are one document
 and do not remove each other; rows without doc_id neither lose nor take anything; an empty table gives an empty result;
@@ -24,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, cut, release, table
-from tessella.llm.recurring import BLOCK, cover, dealt, mix, raws_of, runs_of, shared_anchors, slices, sliding_min, within
+from tessella.llm.common import blocks, cut, discard, release, table
+from tessella.llm.recurring import BLOCK, between, dealt, listed, low, mix, numbers, per_block, raws_of, runs_of, shared_anchors, slices, sliding_min, usable, within
 
-WIDTH, GRAM = 13, 5
+WIDTH, GRAM, SHARD = 13, 5, 1 << 19
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, (3, WIDTH), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -61,115 +64,174 @@ def find(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return text, a[starts]
 
 
-def suspects(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(BLOCK, h1, h2, first): windows that start in two documents, for each block that has them."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = np.sort(right.column("anchor").to_numpy().view(np.uint64))
-        rows = []
-        raws, ids = raws_of(left.column("text")), left.column("doc_id").to_pylist()
-        use = [i for i, d in enumerate(ids) if d is not None] if len(known) else []
-        for lo, hi in slices([raws[i] for i in use]):
-            words = [raws[i].split() for i in use[lo:hi]]
-            h = hashed([w for x in words for w in x])
-            a = anchors(h)
-            starts, stops, text = runs_of(a, np.array([len(x) for x in words]), WIDTH)
-            keep = within(a[starts], known)
-            starts, n = starts[keep], (stops - starts)[keep]
-            at = np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else starts
-            doc = np.repeat(np.array([ids[i] for i in use[lo:hi]], np.int64)[text[keep]], n)
-            rows.append(np.stack([sums(h[0], _ODD[1])[at].view(np.int64), sums(h[1], _ODD[2])[at].view(np.int64), doc]))
-        x = np.concatenate(rows, axis=1) if rows else np.zeros((3, 0), np.int64)
-        x = x[:, np.lexsort((x[2], x[1], x[0]))]
-        new = np.flatnonzero(np.r_[True, (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])]) if x.shape[1] else np.zeros(0, np.int64)
-        last = np.r_[new[1:], x.shape[1]] - 1 if len(new) else new
-        block = left.column(BLOCK)[0].as_py() if len(left) else 0
-        return pa.table({"h1": x[0, new], "h2": x[1, new], "lo": x[2, new], "hi": x[2, last], BLOCK: np.full(len(new), block, np.int32)})
-
-    rows = docs.groupBy(BLOCK).cogroup(shared.groupBy(BLOCK)).applyInArrow(run, "h1 long, h2 long, lo long, hi long, " + BLOCK + " int")
-    both = rows.groupBy("h1", "h2").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.collect_set(BLOCK).alias("blocks")).where("first < last")
-    return cut(both.select(F.explode("blocks").alias(BLOCK), "h1", "h2", "first"), "phrases")
+def windows(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words' hashes, and both hashes of the windows of texts that lie one behind the other."""
+    h = hashed([w for x in words for w in x])
+    return h, sums(h[0], _ODD[1]), sums(h[1], _ODD[2])
+
+
+def segments(one: np.ndarray, two: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run of windows, over its windows' hashes and their places in the run."""
+    n = stops - starts
+    first = np.cumsum(n) - n
+    at = np.arange(n.sum()) - np.repeat(first, n)
+    place = mix(at.astype(np.uint64) + np.uint64(77))
+    where = np.repeat(starts, n) + at
+    return tuple(np.add.reduceat(mix(x[where] ^ place), first).view(np.int64) if len(n) else np.zeros(0, np.int64) for x in (one, two))
+
+
+class Runs:
+    """The runs of windows of some texts, with their segments' hashes; with some: of known anchors alone."""
+
+    def __init__(self, words: list[list[bytes]], some: np.ndarray | None = None):
+        h, self.one, self.two = windows(words)
+        a = anchors(h)
+        self.starts, self.stops, self.text = runs_of(a, np.array([len(x) for x in words]), WIDTH)
+        self.anchor = low(a[self.starts])
+        if some is not None:
+            keep = within(self.anchor, some)
+            self.starts, self.stops, self.text, self.anchor = (x[keep] for x in (self.starts, self.stops, self.text, self.anchor))
+        self.n = self.stops - self.starts
+
+    def each(self) -> np.ndarray:
+        """The windows of all runs."""
+        return np.repeat(self.starts - (np.cumsum(self.n) - self.n), self.n) + np.arange(self.n.sum())
+
+
+def once(keys: list[np.ndarray], doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each different key, with the smallest and the largest doc_id that has it."""
+    o = np.lexsort((doc, *keys[::-1]))
+    keys, doc = [k[o] for k in keys], doc[o]
+    if not len(doc):
+        return keys, doc, doc
+    new = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    return [k[new] for k in keys], doc[new], doc[np.r_[new[1:], len(doc)] - 1]
+
+
+def occurrences(packed: DataFrame, lists: DataFrame, whole: bool) -> DataFrame:
+    """(h1, h2, lo, hi, BLOCK), of segments (whole, with their anchor) or of windows, with an anchor of the block's list;
+    each once a block."""
+
+    def run(block: int, docs: pa.Table, anchors_: pa.Array | None) -> pa.Table:
+        some = np.sort(numbers(anchors_))
+        ids, raws = usable(docs) if len(some) else ([], [])
+        parts = []
+        for lo, hi in slices(raws):
+            r = Runs([x.split() for x in raws[lo:hi]], some)
+            doc = np.array(ids[lo:hi], np.int64)[r.text]
+            if whole:
+                parts.append([*segments(r.one, r.two, r.starts, r.stops), r.anchor, doc])
+            else:
+                at = r.each()
+                parts.append([r.one[at].view(np.int64), r.two[at].view(np.int64), np.zeros(len(at), np.int64), np.repeat(doc, r.n)])
+        h1, h2, anchor, doc = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
+        (h1, h2, anchor), least, largest = once([h1, h2, anchor], doc)
+        return pa.table({"h1": h1, "h2": h2, "anchor": anchor, "lo": least, "hi": largest, BLOCK: np.full(len(h1), block, np.int32)})
+
+    return per_block(packed, lists, run, f"h1 long, h2 long, anchor long, lo long, hi long, {BLOCK} int").repartition("h1", "h2")
+
+
+def suspects(packed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(BLOCK, list of (whole, h1, h2, first)): the segments and windows that recur, for each block with a document that
+    is not the first to have them."""
+    where = F.collect_list(F.struct(F.col(BLOCK).alias("block"), "hi")).alias("blocks")
+    met = lambda rows: rows.groupBy("h1", "h2").agg(F.first("anchor").alias("anchor"), F.min("lo").alias("first"), F.max("hi").alias("last"), where)
+    found = cut(met(occurrences(packed, shared, True)), "segments")
+    discard(shared)
+    release(packed.sparkSession)
+    crowded = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "crowded")
+    alone = found.join(crowded, "anchor", "left_anti")
+    differ = listed(found.join(crowded, "anchor").select(F.explode("blocks.block").alias(BLOCK), "anchor").distinct(), "anchor")
+    release(packed.sparkSession)
+    windows_ = met(occurrences(packed, differ, False))
+    both = alone.withColumn("whole", F.lit(True)).unionByName(windows_.withColumn("whole", F.lit(False))).where("first < last")
+    late = F.filter("blocks", lambda b: b["hi"] > F.col("first"))
+    out = listed(both.select(F.explode(late).alias("at"), "whole", "h1", "h2", "first").select(F.col("at.block").alias(BLOCK), "whole", "h1", "h2", "first"), "whole", "h1", "h2", "first")
+    discard(found, crowded, differ)
+    return out
 
 
 class Automaton:
-    """Phrases of numbered words, with the smallest doc_id of each."""
-
-    def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        self.firsts: list[int] = []
-
-    def add(self, phrase: list[bytes], first: int) -> None:
-        key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in phrase)
-        self.trie.add_word(key, len(self.firsts))
-        self.firsts.append(first)
-
-    def compile(self) -> None:
-        if self.firsts:
+    """Phrases with the smallest doc_id of each. Nodes are searched one child after the other, so the alphabet is
+    small: a word is its number in two letters, and words that no phrase has are all the same."""
+
+    OTHER = "\x01\x01"
+
+    def __init__(self, phrases: list[tuple[list[bytes], int]]) -> None:
+        seen = dict.fromkeys(w for p, _ in phrases for w in p)
+        base = 1 + int(len(seen) ** 0.5)
+        self.codes = {w: chr(2 + n // base) + chr(2 + n % base) for n, w in enumerate(seen)}
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for p, first in phrases:
+            self.trie.add_word("".join([self.codes[w] for w in p]), (first, len(p)))
+        if phrases:
             self.trie.make_automaton()
 
-    def starts(self, words: list[bytes], doc_id: int) -> np.ndarray:
-        """Where phrases begin that a smaller doc_id has."""
-        if not self.firsts:
-            return np.zeros(0, np.int64)
-        get = self.numbers.get
-        text = tuple([get(w, 0) for w in words])
-        return np.array([end - WIDTH + 1 for end, i in self.trie.iter(text) if self.firsts[i] < doc_id], np.int64)
-
-
-def compile_shard(words: list[list[bytes]], phrases: dict[tuple[int, int], int]) -> Automaton:
-    """The shard's automaton: each recurring phrase is read from the first text of the shard where its hashes stand."""
-    out, todo = Automaton(), dict(phrases)
-    ordered = np.sort(np.array([k[0] for k in todo], np.int64).view(np.uint64))
-    for lo, hi in slices([b"x" * 6 * len(x) for x in words]) if todo else ():
-        flat = [w for x in words[lo:hi] for w in x]
-        h = hashed(flat)
-        one, two = sums(h[0], _ODD[1]), sums(h[1], _ODD[2])
-        ends = np.repeat(np.cumsum([len(x) for x in words[lo:hi]]), [len(x) for x in words[lo:hi]])[: len(one)]
-        at = np.flatnonzero(within(one, ordered) & (np.arange(len(one)) + WIDTH <= ends))
-        for i, a, b in zip(at.tolist(), one[at].view(np.int64).tolist(), two[at].view(np.int64).tolist(), strict=True):
-            if (first := todo.pop((a, b), None)) is not None:
-                out.add(flat[i : i + WIDTH], first)
-    out.compile()
-    return out
-
-
-def kept_words(words: list[list[bytes]], ids: list[int | None], phrases: pa.Table) -> list[list[bytes] | None]:
-    """What is left of the texts of a shard; None where nothing goes."""
-    keys = zip(*(phrases.column(c).to_pylist() for c in ("h1", "h2", "first")), strict=True)
-    shard = compile_shard([w for w, d in zip(words, ids, strict=True) if d is not None], {(a, b): f for a, b, f in keys})
+    def covered(self, words: list[bytes], doc_id: int) -> np.ndarray | None:
+        """Which words phrases cover that a smaller doc_id has; None: no word."""
+        if not len(self.trie) or len(words) < WIDTH:
+            return None
+        get = self.codes.get
+        text = "".join([get(w, self.OTHER) for w in words])
+        spans = [((end + 1) // 2 - n, (end + 1) // 2) for end, (first, n) in self.trie.iter(text) if first < doc_id and end % 2]
+        return between(*map(list, zip(*spans, strict=True)), len(words)) if spans else None
+
+
+def compile_shard(words: list[list[bytes]], whole: dict[tuple[int, int], int], single: dict[tuple[int, int], int], few: np.ndarray) -> Automaton:
+    """The automaton of some texts: the recurring segments and windows they have, each read where it stands first. few:
+    the first hashes of single, in order."""
+    out: dict[tuple, tuple[list[bytes], int]] = {}
+    if whole or single:
+        flat, r = [w for x in words for w in x], Runs(words)
+        g1, g2 = segments(r.one, r.two, r.starts, r.stops)
+        for s, e, *g in zip(r.starts.tolist(), r.stops.tolist(), g1.tolist(), g2.tolist(), strict=True):
+            if (first := whole.get(g := (*g,))) is not None and g not in out:
+                out[g] = flat[s : e + WIDTH - 1], first
+        at = r.each()
+        at = at[within(r.one[at].view(np.int64), few)]
+        for i, *g in zip(at.tolist(), r.one[at].view(np.int64).tolist(), r.two[at].view(np.int64).tolist(), strict=True):
+            if (first := single.get(g := (*g,))) is not None and (0, *g) not in out:
+                out[0, *g] = flat[i : i + WIDTH], first
+    return Automaton(list(out.values()))
+
+
+def kept_words(words: list[list[bytes]], ids: list[int | None], phrases: pa.Array | None) -> list[list[bytes] | None]:
+    """What is left of the texts of a block; None where nothing goes."""
+    whole, single = {}, {}
+    for w, a, b, first in zip(*(numbers(phrases, c).tolist() for c in ("whole", "h1", "h2", "first")), strict=True):
+        (whole if w else single)[a, b] = first
+    few = np.unique(np.array([k[0] for k in single], np.int64))
     out: list[list[bytes] | None] = []
-    for w, d in zip(words, ids, strict=True):
-        starts = shard.starts(w, d) if d is not None else ()
-        out.append([x for x, m in zip(w, cover(starts, WIDTH, len(w)).tolist(), strict=True) if not m] if len(starts) else None)
+    for lo, hi in slices([b" ".join(w) for w in words], SHARD):
+        shard = compile_shard([w for w, d in zip(words[lo:hi], ids[lo:hi], strict=True) if d is not None], whole, single, few)
+        for w, d in zip(words[lo:hi], ids[lo:hi], strict=True):
+            mask = None if d is None else shard.covered(w, d)
+            out.append(None if mask is None else [x for x, m in zip(w, mask.tolist(), strict=True) if not m])
     return out
 
 
-def split(texts: pa.ChunkedArray) -> list[list[bytes]]:
-    return [r.split() for r in raws_of(texts)]
-
-
-def found(docs: DataFrame) -> DataFrame:
-    """The recurring phrases of each block; docs from dealt()."""
-    shared = shared_anchors(docs, find)
-    release(docs.sparkSession)
-    phrases = suspects(docs, shared)
-    release(docs.sparkSession)
+def found(packed: DataFrame) -> DataFrame:
+    """The recurring phrases of each block."""
+    release(packed.sparkSession)
+    shared = shared_anchors(packed, find)
+    release(packed.sparkSession)
+    phrases = suspects(packed, shared)
+    release(packed.sparkSession)
     return phrases
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and kept_sha256, of the words that are left, joined by one blank."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, ids = split(left.column("text")), left.column("doc_id").to_pylist()
-        kept = [w if k is None else k for w, k in zip(words, kept_words(words, ids, right), strict=True)]
+    def run(_: int, rows: pa.Table, phrases: pa.Array | None) -> pa.Table:
+        words, ids = [r.split() for r in raws_of(rows.column("text"))], rows.column("doc_id").to_pylist()
+        kept = [w if k is None else k for w, k in zip(words, kept_words(words, ids, phrases), strict=True)]
         digests = [hashlib.sha256(b" ".join(k)).hexdigest() for k in kept]
-        n, left_n = (np.array([len(w) for w in x], np.int64) for x in (words, kept))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": n, "n_removed": n - left_n, "kept_sha256": pa.array(digests, pa.string())})
+        n, left = (np.array([len(w) for w in x], np.int64) for x in (words, kept))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": n, "n_removed": n - left, "kept_sha256": pa.array(digests, pa.string())})
 
-    own = dealt(docs, blocks(docs))
-    return own.groupBy(BLOCK).cogroup(found(own).groupBy(BLOCK)).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    packed = dealt(docs, blocks(docs), ["doc_id", "text"])
+    return per_block(packed, found(packed), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_phrases(docs: DataFrame) -> DataFrame:
@@ -177,21 +239,18 @@ def without_phrases(docs: DataFrame) -> DataFrame:
     its n_chars, if there is such a column, follows. Other texts stay as they are."""
     columns = docs.columns
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = split(left.column("text"))
-        texts = left.column("text").to_pylist()
-        for i, k in enumerate(kept_words(words, left.column("doc_id").to_pylist(), right)):
-            texts[i] = texts[i] if k is None else b" ".join(k).decode()
+    def run(_: int, rows: pa.Table, phrases: pa.Array | None) -> pa.Table:
+        texts = rows.column("text").to_pylist()
+        kept = kept_words([r.split() for r in raws_of(rows.column("text"))], rows.column("doc_id").to_pylist(), phrases)
+        texts = [t if k is None else b" ".join(k).decode() for t, k in zip(texts, kept, strict=True)]
         new = {"text": pa.array(texts, pa.string())}
         if "n_chars" in columns:
-            same = left.column("n_chars").to_pylist()
-            before = left.column("text").to_pylist()
-            new["n_chars"] = pa.array([n if t == b else len(t) for n, t, b in zip(same, texts, before, strict=True)], left.schema.field("n_chars").type)
-        return pa.table({c: new.get(c, left.column(c)) for c in columns})
-
-    n = blocks(docs)
-    phrases = found(dealt(docs, n))
-    return dealt(docs, n, columns).groupBy(BLOCK).cogroup(phrases.groupBy(BLOCK)).applyInArrow(run, docs.schema)
+            before = rows.column("n_chars").to_pylist()
+            new["n_chars"] = pa.array([n if k is None else len(t) for n, k, t in zip(before, kept, texts, strict=True)], rows.schema.field("n_chars").type)
+        return pa.table({c: new.get(c, rows.column(c)) for c in columns})
+
+    packed = dealt(docs, blocks(docs), columns)
+    return per_block(packed, found(packed), run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

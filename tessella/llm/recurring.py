@@ -1,9 +1,10 @@
 """What two kinds of substring dedup share: finding windows of fixed width that start in more than one document.
 
-Texts are dealt to blocks by doc_id. A window's anchor is the smallest hash of the k-grams in it, so equal windows have
-equal anchors and neighbouring windows mostly share one. Only anchors, not windows, are shuffled for all texts
-(shared_anchors); blocks then get those of their anchors that two documents have, and look closer at windows with such
-an anchor alone. A hot anchor costs a row a task and a row a block.
+Texts are dealt to blocks by doc_id, once, and each block is written as one compressed row. A window's anchor is the
+smallest hash of the k-grams in it, so equal windows have equal anchors and neighbouring windows mostly share one. Only
+anchors, not windows, are shuffled for all texts (shared_anchors), each once a block; blocks then get those of their
+anchors that two documents have, and look closer at windows with such an anchor alone. However hot an anchor is, it
+costs a row a block. Anchors are 48 bits: two different ones that meet cost a closer look and change no result.
 """
 
 from __future__ import annotations
@@ -12,12 +13,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut
 
 
+#: The column that says which block a text is dealt to; no column of documents has this name.
+BLOCK = "_block_of_text"
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -55,7 +61,7 @@ def runs_of(anchors: np.ndarray, lengths: np.ndarray, width: int, most: int | No
     return starts, stop, text[starts]
 
 
-def slices(raws: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(raws: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Spans of texts of about `most` bytes; one text may be larger."""
     lo = n = 0
     for i, r in enumerate(raws):
@@ -68,35 +74,109 @@ def slices(raws: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 
 def raws_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    return [(x.as_py() or "").encode() for x in column]
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-#: The column that says which block a text is dealt to; no column of documents has this name.
-BLOCK = "_block_of_text"
+_SMALL = np.uint64((1 << 48) - 1)
 
 
-def dealt(docs: DataFrame, n: int, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, text (or all of keep) and BLOCK; rows without doc_id are of no document, and go by their text."""
+def dealt(docs: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """(BLOCK, packed): the columns of each block's documents as one compressed Arrow stream, written. Rows without
+    doc_id are of no document and go by their text."""
     key = F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(F.col("doc_id").cast("string"))
-    return docs.select(*[F.col(f"`{c}`") for c in keep or ["doc_id", "text"]], F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(BLOCK))
+    own = docs.select(*[F.col(f"`{c}`") for c in columns], F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(BLOCK))
 
+    def run(rows: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        data = rows.select(columns)
+        with pa.ipc.new_stream(sink, data.schema) as out:
+            out.write_table(data)
+        return pa.table({BLOCK: pa.array([rows.column(BLOCK)[0].as_py()], pa.int32()), "packed": pa.array([zstandard.compress(sink.getvalue().to_pybytes(), 3)], pa.binary())})
 
-def shared_anchors(docs: DataFrame, find: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(BLOCK, anchor) of anchors that documents of two different doc_ids have; docs from dealt().
+    return cut(own.groupBy(BLOCK).applyInArrow(run, f"{BLOCK} int, packed binary"), "blocks")
 
-    find(texts) gives the number of the text and the anchor of each run of windows.
-    """
+
+def unpacked(row: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(row.as_py())).read_all()
+
+
+def per_block(packed: DataFrame, lists: DataFrame | None, f: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """f(block, documents, list) over all blocks; lists (BLOCK, list) has a row for blocks that have something."""
+    both = packed.withColumn("list", F.lit(None).cast("array<long>")) if lists is None else packed.join(lists, BLOCK, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raws, ids, at = raws_of(b.column(1)), b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
-            for lo, hi in slices(raws):
-                which, anchors = find(raws[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(ids[lo:hi][which], pa.int64()), pa.array(at[lo:hi][which])], names=["anchor", "doc_id", BLOCK])
+            for block, row, extra in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                yield from f(block, unpacked(row), extra.values).combine_chunks().to_batches()
+
+    return both.select(BLOCK, "packed", "list").mapInArrow(run, schema)
+
+
+def listed(rows: DataFrame, *columns: str) -> DataFrame:
+    """(BLOCK, list) with one row a block, written. A list is no longer than its block's text."""
+    item = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+    return cut(rows.groupBy(BLOCK).agg(F.collect_list(item).alias("list")), "lists")
+
+
+def numbers(values: pa.Array | None, field: str | None = None) -> np.ndarray:
+    """A list column's numbers; none for null."""
+    if values is None:
+        return np.zeros(0, np.int64)
+    return (values if field is None else values.field(field)).to_numpy(zero_copy_only=False)
+
+
+def usable(docs: pa.Table) -> tuple[list[int], list[bytes]]:
+    """doc_ids and texts of the rows that have a doc_id."""
+    has = docs.filter(docs.column("doc_id").is_valid())
+    return has.column("doc_id").to_pylist(), raws_of(has.column("text"))
+
+
+def shared_anchors(packed: DataFrame, find: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(BLOCK, list of anchors) of anchors that documents of two different doc_ids have.
+
+    find(texts) gives the number of the text and the anchor of each run of windows.
+    """
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text", BLOCK).mapInArrow(run, f"anchor long, doc_id long, {BLOCK} int")
-    both = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.collect_set(BLOCK).alias("blocks")).where("lo < hi")
-    return cut(both.select(F.explode("blocks").alias(BLOCK), "anchor"), "anchors")
+    def run(block: int, docs: pa.Table, _) -> pa.Table:
+        ids, raws = usable(docs)
+        parts = []
+        for lo, hi in slices(raws):
+            text, anchor = find(raws[lo:hi])
+            parts.append(np.stack([low(anchor), np.array(ids[lo:hi], np.int64)[text]]))
+        x = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
+        x = x[:, np.lexsort((x[1], x[0]))]
+        new = np.flatnonzero(np.r_[True, x[0, 1:] != x[0, :-1]]) if x.shape[1] else np.zeros(0, np.int64)
+        last = np.r_[new[1:], x.shape[1]] - 1 if len(new) else new
+        anchor, many = x[0, new], x[1, new] != x[1, last]
+        return pa.table({"anchor": np.r_[anchor, anchor[many]], BLOCK: np.r_[np.full(len(anchor), block, np.int32), np.full(int(many.sum()), -1, np.int32)]})
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int32)]  # the last anchor's rows so far
+        for b in _and_none(batches):
+            if b is not None:
+                held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, b.columns, strict=True)]
+            anchor, block = held
+            if not len(anchor):
+                continue
+            end = len(anchor) if b is None else int(np.searchsorted(anchor, anchor[-1]))
+            new = np.r_[True, anchor[1:end] != anchor[: end - 1]] if end else np.zeros(0, bool)
+            n = np.diff(np.r_[np.flatnonzero(new), end])
+            keep = np.repeat(n > 1, n) & (block[:end] >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(block[:end][keep]), pa.array(anchor[:end][keep])], names=[BLOCK, "anchor"])
+            held = [anchor[end:], block[end:]]
+
+    rows = per_block(packed, None, run, f"anchor long, {BLOCK} int").repartition("anchor").sortWithinPartitions("anchor")
+    return listed(rows.mapInArrow(repeated, f"{BLOCK} int, anchor long"), "anchor")
+
+
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def low(anchors: np.ndarray) -> np.ndarray:
+    """Anchors as shared_anchors lists them."""
+    return (anchors & _SMALL).view(np.int64)
 
 
 def within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -107,9 +187,7 @@ def within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(at, len(ordered) - 1)] == values
 
 
-def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of n symbols the windows that begin at starts cover."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + width, n), -1)
+def between(starts: list[int], ends: list[int], n: int) -> np.ndarray:
+    """Which of n symbols lie in a span from a start to before its end."""
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
