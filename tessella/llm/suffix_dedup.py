@@ -1,8 +1,10 @@
 """Suffix-array dedup: bytes in WIDTH-byte strings that start in a document with a smaller doc_id are removed.
 
 Only stretches whose anchor (the smallest hash of GRAM bytes in a window) two documents have can repeat; these segments,
-at most MOST windows long, are collected, each different one once with the smallest and largest doc_id that has it.
-A segment that is alone with its anchor is its own answer. All others go to shards by anchor, and each shard builds the
+at most MOST windows long, are collected by 128-bit hash, each different one once with the smallest and largest doc_id
+that has it. A segment that is alone with its anchor is its own answer. All others are read from a block that has them
+and go to shards by anchor. Of a shard, segments with a window whose rolling hash is not unique are the collection, and
+each shard builds the
 Burrows-Wheeler transform and the common prefixes of its whole collection column by column: a round inserts one more
 symbol of every segment, from the ends backwards, at places that ranks in the last round's transform give, and
 common prefixes follow from minima over the last round's. Each round reads the last round's arrays from one end to the
@@ -19,20 +21,24 @@ columns but doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, cut, release, table
-from tessella.llm.recurring import BLOCK, cover, dealt, mix, raws_of, runs_of, shared_anchors, slices, sliding_min, within
+from tessella.llm.common import blocks, cut, discard, release, table
+from tessella.llm.recurring import BLOCK, between, dealt, listed, low, mix, numbers, per_block, raws_of, runs_of, shared_anchors, slices, sliding_min, usable, within
 
 WIDTH, GRAM = 50, 20
 MOST = WIDTH - GRAM + 1
 #: Segments of a shard, about; and of one anchor, at most.
-SHARD, HEAVY = 8_000, 8_000
-END = 256
+SHARD, HEAVY = 3_000, 8_000
+#: A byte that UTF-8 does not have stands before the first symbol of a text.
+END = 255
 RUNS = "array<struct<at:int,n:int,first:long>>"
 
 
@@ -42,7 +48,12 @@ def anchors(raw: bytes) -> np.ndarray:
     if n < MOST:
         return np.zeros(0, np.uint64)
     at = lambda k, kind: np.ndarray((n,), kind, raw, k, (1,))
-    h = mix(at(0, "<u8") * np.uint64(0x9E3779B97F4A7C15) + mix(at(8, "<u8") * np.uint64(0xC2B2AE3D27D4EB4F) + at(16, "<u4")))
+    h = at(0, "<u8") * np.uint64(0x9E3779B97F4A7C15)
+    h ^= at(8, "<u8") * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    h += at(16, "<u4") * np.uint64(0x165667B19E3779F9)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
     return sliding_min(h, MOST)
 
 
@@ -52,39 +63,45 @@ def find(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return text, a[starts]
 
 
-def segments(raws: list[bytes], known: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' bytes; starts, ends, texts and anchors of runs of windows with a known anchor."""
+def segments(raws: list[bytes], some: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes; starts, ends, texts and anchors of runs of windows, with some: of those with a known anchor."""
     flat = b"".join(raws)
     a = anchors(flat)
     starts, stops, text = runs_of(a, np.array([len(r) for r in raws]), WIDTH, MOST)
-    keep = within(a[starts], known)
-    return flat, starts[keep], stops[keep] + WIDTH - 1, text[keep], a[starts[keep]].view(np.int64)
+    ends, found = stops + WIDTH - 1, low(a[starts])
+    if some is not None:
+        keep = within(found, some)
+        starts, ends, text, found = starts[keep], ends[keep], text[keep], found[keep]
+    return flat, starts, ends, text, found
 
 
-def suspects(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(anchor, segment, lo, hi, blocks): each different segment once, written."""
+def digest(segment: bytes) -> tuple[int, int]:
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(segment))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = np.sort(right.column("anchor").to_numpy().view(np.uint64))
-        raws, ids = raws_of(left.column("text")), left.column("doc_id").to_pylist()
-        use = [i for i, d in enumerate(ids) if d is not None] if len(known) else []
-        found: dict[bytes, list[int]] = {}
-        for lo, hi in slices([raws[i] for i in use]):
-            flat, starts, ends, text, anchor = segments([raws[i] for i in use[lo:hi]], known)
+
+def suspects(packed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(anchor, g1, g2, lo, hi, blocks): each different segment once, by its hash, written."""
+
+    def run(block: int, docs: pa.Table, anchors_: pa.Array | None) -> pa.Table:
+        some = np.sort(numbers(anchors_))
+        ids, raws = usable(docs) if len(some) else ([], [])
+        seen: dict[bytes, list[int]] = {}
+        for lo, hi in slices(raws):
+            flat, starts, ends, text, anchor = segments(raws[lo:hi], some)
             for s, e, t, a in zip(starts.tolist(), ends.tolist(), text.tolist(), anchor.tolist(), strict=True):
-                d = ids[use[lo + t]]
-                if (x := found.get(key := flat[s:e])) is None:
-                    found[key] = [a, d, d]
+                d = ids[lo + t]
+                if (x := seen.get(key := flat[s:e])) is None:
+                    seen[key] = [a, d, d]
                 elif d < x[1]:
                     x[1] = d
                 elif d > x[2]:
                     x[2] = d
-        block = left.column(BLOCK)[0].as_py() if len(left) else 0
-        cols = list(zip(*found.values(), strict=True)) or [(), (), ()]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(found.keys(), pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(np.full(len(found), block, np.int32))], names=["anchor", "segment", "lo", "hi", BLOCK])
+        g = np.array([digest(k) for k in seen], np.int64).reshape(-1, 2)
+        x = np.array(list(seen.values()), np.int64).reshape(-1, 3)
+        return pa.table({"anchor": x[:, 0].copy(), "g1": g[:, 0].copy(), "g2": g[:, 1].copy(), "lo": x[:, 1].copy(), "hi": x[:, 2].copy(), BLOCK: np.full(len(x), block, np.int32)})
 
-    rows = docs.groupBy(BLOCK).cogroup(shared.groupBy(BLOCK)).applyInArrow(run, "anchor long, segment binary, lo long, hi long, " + BLOCK + " int")
-    return cut(rows.groupBy("anchor", "segment").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set(BLOCK).alias("blocks")), "segments")
+    rows = per_block(packed, shared, run, f"anchor long, g1 long, g2 long, lo long, hi long, {BLOCK} int").repartition("g1", "g2")
+    return cut(rows.groupBy("anchor", "g1", "g2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct(F.col(BLOCK).alias("block"), "hi")).alias("blocks")), "segments")
 
 
 def transform(texts: list[bytes], most: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,8 +109,8 @@ def transform(texts: list[bytes], most: int = WIDTH) -> tuple[np.ndarray, np.nda
     of each with the one before, counted up to `most`. The empty suffixes come first, by text."""
     m = len(texts)
     size = np.array([len(t) for t in texts], np.int64)
-    flat, base = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16), np.cumsum(size) - size
-    before = lambda who, at: np.where(at > 0, flat[np.maximum(base[who] + at - 1, 0)] if len(flat) else END, END).astype(np.uint16)
+    flat, base = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size
+    before = lambda who, at: np.where(at > 0, flat[np.maximum(base[who] + at - 1, 0)] if len(flat) else END, END).astype(np.uint8)
     who, start = np.arange(m, dtype=np.int32), size.astype(np.int32)
     bwt, lcp = before(who, start), np.zeros(m, np.uint8)
     row = np.arange(m)  # where the last inserted suffix of each live text is
@@ -107,36 +124,34 @@ def transform(texts: list[bytes], most: int = WIDTH) -> tuple[np.ndarray, np.nda
         o = np.argsort(k)
         live, r, k = live[o], r[o], k[o]
         place = m + k
-        levels = [lcp]
-        while 2 << len(levels) - 1 <= len(lcp):
-            x, step = levels[-1], 1 << len(levels) - 1
-            levels.append(np.minimum(x[:-step], x[step:]))
-        real = int((bwt < END).sum())
+        levels = np.zeros((max(1, len(lcp).bit_length()), len(lcp)), np.uint8)  # minima of 1, 2, 4, ... neighbours
+        levels[0] = lcp
+        for v in range(1, len(levels)):
+            step = 1 << v - 1
+            np.minimum(levels[v - 1, :-step], levels[v - 1, step:], out=levels[v, :-step])
+        real = int(np.count_nonzero(bwt != END))
 
         def shared(i: np.ndarray, order=order, levels=levels, bwt=bwt, real=real) -> np.ndarray:
             """1 + the least common prefix on the way from the row before to the row of the i-th suffix in the new order."""
             ok = (i > 0) & (i < real)
-            i = np.where(ok, i, 1) if len(order) > 1 else np.zeros_like(i)
+            i = np.where(ok, i, min(1, len(order) - 1))
             b, a = order[i], order[i - 1]
             ok &= bwt[a] == bwt[b]
             a, b = np.minimum(a, b), np.maximum(a, b)
-            level = np.frexp(np.maximum(b - a, 1))[1] - 1
-            least = np.zeros(len(i), np.uint8)
-            for v in np.unique(level[ok]) if ok.any() else ():
-                at = np.flatnonzero(ok & (level == v))
-                x = levels[v]
-                least[at] = np.minimum(x[a[at] + 1], x[b[at] + 1 - (1 << v)])
+            v = np.frexp(np.maximum(b - a, 1))[1] - 1
+            least = np.minimum(levels[v, np.minimum(a + 1, len(bwt) - 1)], levels[v, np.maximum(b + 1 - (1 << v), 0)])
             return np.where(ok, np.minimum(least.astype(np.int64) + 1, most), 0).astype(np.uint8)
 
         own, after = shared(k), shared(k + 1)
         total = len(bwt) + len(live)
-        fresh = np.zeros(total, bool)
-        fresh[place] = True
+        stay = np.ones(total, bool)
+        stay[place] = False
+        stay = np.flatnonzero(stay)
         start_new = start[r] - 1
         merged = []
         for old, new in ((bwt, before(live, start_new)), (lcp, own), (who, live.astype(np.int32)), (start, start_new)):
             x = np.empty(total, old.dtype)
-            x[fresh], x[~fresh] = new, old
+            x[place], x[stay] = new, old
             merged.append(x)
         bwt, lcp, who, start = merged
         has = place + 1 < total
@@ -146,9 +161,32 @@ def transform(texts: list[bytes], most: int = WIDTH) -> tuple[np.ndarray, np.nda
     return who, start, bwt, lcp
 
 
+def candidates(texts: list[bytes]) -> np.ndarray:
+    """Which texts have a window whose rolling hash another window of the collection has too."""
+    flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    size = np.array([len(t) for t in texts], np.int64)
+    if len(flat) < WIDTH:
+        return np.zeros(len(texts), bool)
+    power = np.multiply.accumulate(np.full(len(flat), 0x9E3779B97F4A7C15, np.uint64))
+    back = np.multiply.accumulate(np.full(len(flat), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+    sums = np.r_[np.uint64(0), np.cumsum((flat + np.uint64(1)) * power)]
+    h = mix((sums[WIDTH:] - sums[:-WIDTH]) * back[: len(flat) - WIDTH + 1])
+    who = np.repeat(np.arange(len(texts)), size)[: len(h)]
+    inside = np.arange(len(h)) + WIDTH <= np.cumsum(size)[who]
+    h, who = h[inside], who[inside]
+    o = np.argsort(h)
+    same = h[o][1:] == h[o][:-1]
+    out = np.zeros(len(texts), bool)
+    out[who[o[1:][same]]] = out[who[o[:-1][same]]] = True
+    return out
+
+
 def firsts(texts: list[bytes], lo: np.ndarray, hi: np.ndarray) -> list[list[dict]]:
     """Of each text, the runs of windows that two documents have, with the smallest doc_id."""
-    who, start, _, lcp = transform(texts)
+    known = candidates(texts)
+    chosen = np.flatnonzero(known)
+    who, start, _, lcp = transform([texts[i] for i in chosen])
+    who = chosen[who]
     size = np.array([len(t) for t in texts])
     group = np.cumsum(lcp < WIDTH) - 1
     full = size[who] - start >= WIDTH
@@ -160,63 +198,113 @@ def firsts(texts: list[bytes], lo: np.ndarray, hi: np.ndarray) -> list[list[dict
     who, start, least = who[keep], start[keep], least[keep]
     o = np.lexsort((start, who))
     who, start, least = who[o], start[o], least[o]
+    # A window that no other segment has may still be in two documents, those that share its whole segment.
     edge = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1) | (least[1:] != least[:-1])]) if len(who) else np.zeros(0, np.int64)
     out: list[list[dict]] = [[] for _ in texts]
     for e, k in zip(edge.tolist(), np.diff(np.r_[edge, len(who)]).tolist(), strict=True):
         out[who[e]].append({"at": int(start[e]), "n": k, "first": int(least[e])})
+    for i in np.flatnonzero(lo < hi):
+        if not out[i] and not known[i]:
+            out[i].append({"at": 0, "n": int(size[i]) - WIDTH + 1, "first": int(lo[i])})
     return out
 
 
-def resolved(found: DataFrame) -> DataFrame:
-    """(BLOCK, anchor, segment, runs): for each block its segments with windows that recur."""
-    per = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
+def texts_of(packed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (BLOCK, list of (anchor, g1, g2, lo, hi)) with the segments' bytes, read from the block that each names."""
+
+    def run(_: int, docs: pa.Table, want: pa.Array | None) -> pa.Table:
+        todo = dict(zip(zip(*(numbers(want, c).tolist() for c in ("g1", "g2")), strict=True), zip(*(numbers(want, c).tolist() for c in ("anchor", "lo", "hi")), strict=True), strict=True))
+        some = np.unique(numbers(want, "anchor"))
+        _, raws = usable(docs) if todo else ([], [])
+        rows = []
+        for lo, hi in slices(raws):
+            flat, starts, ends, *_ = segments(raws[lo:hi], some)
+            for segment in {flat[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)}:
+                if (x := todo.pop(g := digest(segment), None)) is not None:
+                    rows.append((*x, *g, segment))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=["anchor", "lo", "hi", "g1", "g2", "segment"])
+
+    return cut(per_block(packed, wanted, run, "anchor long, lo long, hi long, g1 long, g2 long, segment binary"), "texts")
+
+
+def resolved(packed: DataFrame, found: DataFrame) -> DataFrame:
+    """(BLOCK, list of (anchor, g1, g2, first, runs)): for each block its segments with windows that recur. runs is null for a
+    segment all of whose windows have the same first document."""
     spark = found.sparkSession
-    total = per.where(F.col("n") <= HEAVY).agg(F.sum("n")).first()[0] or 0
+    per = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
+    alone = found.join(per.select("anchor"), "anchor", "left_anti").where("lo < hi").select("blocks", "anchor", "g1", "g2", F.col("lo").alias("first"), F.lit(None).cast(RUNS).alias("runs"))
+    crowd = cut(found.join(per, "anchor"), "crowd")
+    wanted = listed(crowd.select(F.array_min("blocks.block").alias(BLOCK), "anchor", "g1", "g2", "lo", "hi"), "anchor", "g1", "g2", "lo", "hi")
+    release(spark)
+    texts = texts_of(packed, wanted)
+    discard(wanted)
+    release(spark)
+    total = texts.count()
     shards = max(60, -(-total // SHARD))
-    alone = found.join(per.select("anchor"), "anchor", "left_anti").where("lo < hi")
-    windows = F.octet_length("segment") - (WIDTH - 1)
-    alone = alone.select("blocks", "anchor", "segment", F.array(F.struct(F.lit(0).alias("at"), windows.cast("int").alias("n"), F.col("lo").alias("first"))).alias("runs"))
 
     def shard(rows: pa.Table) -> pa.Table:
         runs = firsts([x.as_py() for x in rows.column("segment")], rows.column("lo").to_numpy(), rows.column("hi").to_numpy())
-        out = pa.table([*[rows.column(c).combine_chunks() for c in ("blocks", "anchor", "segment")], pa.array(runs, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("first", pa.int64())])))], names=["blocks", "anchor", "segment", "runs"])
-        return out.filter(pa.array([bool(x) for x in runs], pa.bool_()))
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("first", pa.int64())]))
+        return pa.table([*[rows.column(c).combine_chunks() for c in ("g1", "g2")], pa.array(runs, kind)], names=["g1", "g2", "runs"]).filter(pa.array([bool(x) for x in runs], pa.bool_()))
 
-    crowd = found.join(per.where(F.col("n") <= HEAVY).select("anchor"), "anchor").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
-    crowd = crowd.select("shard", "blocks", "anchor", "segment", "lo", "hi").groupBy("shard").applyInArrow(shard, f"blocks array<int>, anchor long, segment binary, runs {RUNS}")
-    out = alone.unionByName(crowd)
+    light = texts.join(per.where(F.col("n") <= HEAVY).select("anchor"), "anchor").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
+    answers = light.select("shard", "g1", "g2", "segment", "lo", "hi").groupBy("shard").applyInArrow(shard, f"g1 long, g2 long, runs {RUNS}")
     if not per.where(F.col("n") > HEAVY).isEmpty():
-        heavy = found.join(per.where(F.col("n") > HEAVY).select("anchor"), "anchor")
-        each = heavy.select("*", F.explode(F.sequence(F.lit(0), windows - 1)).alias("at")).withColumn("window", F.expr(f"substring(segment, at + 1, {WIDTH})"))
+        heavy = texts.join(per.where(F.col("n") > HEAVY).select("anchor"), "anchor")
+        each = heavy.select("*", F.explode(F.sequence(F.lit(0), F.octet_length("segment") - WIDTH)).alias("at")).withColumn("window", F.expr(f"substring(segment, at + 1, {WIDTH})"))
         sums = cut(each.groupBy("window").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last"), "windows")
-        hits = each.drop("lo", "hi").join(sums, "window").groupBy("anchor", "segment").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.lit(1).alias("n"), "first")).alias("runs"))
-        out = out.unionByName(heavy.join(hits, ["anchor", "segment"]).select("blocks", "anchor", "segment", "runs"))
-    return cut(out.select(F.explode("blocks").alias(BLOCK), "anchor", "segment", "runs"), "resolved")
+        hits = each.select("g1", "g2", "at", "window").join(sums, "window").groupBy("g1", "g2").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.lit(1).alias("n"), "first")).alias("runs"))
+        answers = answers.unionByName(hits)
+    answers = cut(answers, "answers")
+    discard(texts)
+    release(spark)
+    spread = crowd.select("anchor", "g1", "g2", "blocks").join(answers, ["g1", "g2"]).select("blocks", "anchor", "g1", "g2", F.lit(None).cast("long").alias("first"), "runs")
+    late = F.filter("blocks", lambda b: b["hi"] > F.coalesce("first", F.array_min("runs.first")))  # others lose nothing
+    each = alone.unionByName(spread).select(F.explode(late).alias("at"), "anchor", "g1", "g2", "first", "runs")
+    out = listed(each.select(F.col("at.block").alias(BLOCK), "anchor", "g1", "g2", "first", "runs"), "anchor", "g1", "g2", "first", "runs")
+    discard(found, per, crowd, answers)
+    return out
 
 
-def removed(docs: DataFrame, answers: DataFrame, texts: bool) -> DataFrame:
+def removed(packed: DataFrame, answers: DataFrame, texts: bool) -> DataFrame:
     """One row a document; with texts also the bytes that are left."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        raws, ids = raws_of(left.column("text")), left.column("doc_id").to_pylist()
-        known = np.unique(right.column("anchor").to_numpy().view(np.uint64))
-        runs = dict(zip(right.column("segment").to_pylist(), right.column("runs").to_pylist(), strict=True))
-        marks: list[list[int]] = [[] for _ in raws]
-        use = [i for i, d in enumerate(ids) if d is not None] if runs else []
+    def run(_: int, docs: pa.Table, list_: pa.Array | None) -> pa.Table:
+        raws, ids = raws_of(docs.column("text")), docs.column("doc_id").to_pylist()
+        marks: list[tuple[list[int], list[int]]] = [([], []) for _ in raws]  # starts and ends of what goes
+        use = [i for i, d in enumerate(ids) if d is not None] if list_ is not None else []
+        if use:
+            keys = np.stack([numbers(list_, "g1"), numbers(list_, "g2")], 1).astype("<i8").tobytes()
+            which = {keys[16 * j : 16 * j + 16]: j for j in range(len(list_))}
+            some, runs = np.unique(numbers(list_, "anchor")), list_.field("runs")
+            firsts_ = list_.field("first").fill_null(0).to_pylist()
+            edges = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False))].tolist()
+            flat_runs = runs.flatten()
+            at_, n_, f_ = (flat_runs.field(c).to_pylist() for c in ("at", "n", "first"))
         for lo, hi in slices([raws[i] for i in use]):
-            some = [raws[i] for i in use[lo:hi]]
-            flat, starts, ends, text, _ = segments(some, known)
-            base = np.cumsum([0, *map(len, some)])
+            texts_ = [raws[i] for i in use[lo:hi]]
+            flat, starts, ends, text, _ = segments(texts_, some)
+            base = np.cumsum([0, *map(len, texts_)]).tolist()
             for s, e, t in zip(starts.tolist(), ends.tolist(), text.tolist(), strict=True):
-                for r in runs.get(flat[s:e], ()):
-                    if r["first"] < ids[use[lo + t]]:
-                        marks[use[lo + t]] += range(s - int(base[t]) + r["at"], s - int(base[t]) + r["at"] + r["n"])
+                if (j := which.get(xxhash.xxh3_128_digest(flat[s:e]))) is not None:
+                    i, s, n = use[lo + t], s - base[t], e - s - WIDTH + 1
+                    a, b = edges[j], edges[j + 1]
+                    if a == b:
+                        if firsts_[j] < ids[i]:
+                            marks[i][0].append(s)
+                            marks[i][1].append(s + n + WIDTH - 1)
+                    else:
+                        for k in range(a, b):
+                            if f_[k] < ids[i]:
+                                marks[i][0].append(s + at_[k])
+                                marks[i][1].append(s + at_[k] + n_[k] + WIDTH - 1)
         rows = []
-        for raw, starts in zip(raws, marks, strict=True):
+        for raw, (starts, ends) in zip(raws, marks, strict=True):
             n = spans = 0
             if starts:
-                mask = cover(np.array(starts), WIDTH, len(raw))
+                mask = between(starts, ends, len(raw))
                 n, spans = int(mask.sum()), int((np.diff(np.r_[0, mask.astype(np.int8)]) == 1).sum())
                 kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
             else:
@@ -226,19 +314,22 @@ def removed(docs: DataFrame, answers: DataFrame, texts: bool) -> DataFrame:
         cols = list(zip(*rows, strict=True)) if rows else [()] * (5 if texts else 4)
         return pa.table([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)]], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(run, schema)
+    return per_block(packed, answers, run, schema)
 
 
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with texts kept, the remaining bytes."""
-    spark, own = docs.sparkSession, dealt(docs, blocks(docs))
-    shared = shared_anchors(own, find)
+    spark = docs.sparkSession
+    packed = dealt(docs, blocks(docs), ["doc_id", "text"])
+    release(spark)
+    shared = shared_anchors(packed, find)
     release(spark)
-    found = suspects(own, shared)
+    found = suspects(packed, shared)
+    discard(shared)
     release(spark)
-    answers = resolved(found)
+    answers = resolved(packed, found)
     release(spark)
-    return removed(own, answers, texts)
+    return removed(packed, answers, texts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
