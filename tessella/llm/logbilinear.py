@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, table
+from tessella.llm.common import cut, received, ship, table
 
 OUTPUTS, CLASSES, DIM = 1024, 128, 16
 NOISE, BATCH, RATE, ROUNDS, STRIDE, SEED = 48, 512, 0.15, 2, 5, 3
@@ -189,12 +189,12 @@ def windows(outputs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
     """docs: training texts only."""
     spark, model = docs.sparkSession, Model(vocabulary.log_q)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = ship(spark, vocabulary)
     for k in range(rounds):
         flat = spark.sparkContext.broadcast(model.flat())
 
         def run(batches: Iterator[pa.RecordBatch], k: int = k, flat=flat) -> Iterator[pa.RecordBatch]:
-            voc = shared.value
+            voc = received(shared)
             own = Model(voc.log_q).load(flat.value)
             state = [np.full(x.shape, 1.0, np.float32) for x in (own.r, own.q, own.p, own.b)]
             rng, n, some, size = np.random.default_rng(SEED + k), 0, [], 0
@@ -241,11 +241,11 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     counts = cut(token_counts(training), "counts")
     voc = Vocabulary(counts)
     model = fit(training, voc)
-    shared = spark.sparkContext.broadcast((voc, model.flat()))
+    shared = ship(spark, (voc, model.flat()))
     fp = F.xxhash64(F.coalesce("text", F.lit("")))  # beside doc_id it tells rows apart that share one
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, flat = shared.value
+        voc, flat = received(shared)
         model = Model(voc.log_q).load(flat)
         for b in batches:
             for lo, hi in spans(b.column(3)):
@@ -263,7 +263,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[b.column(i)[lo:hi] for i in range(3)], *cols], names=["doc_id", "held_out", "fp", "n_tokens", "h_known", "h_base", "h_score"])
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value[0].head
+        head = received(shared)[0].head
         for b in batches:
             for lo, hi in spans(b.column(2)):
                 at, words, n = [], [], []

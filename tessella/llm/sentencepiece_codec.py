@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import table
+from tessella.llm.common import received, ship, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -199,11 +199,11 @@ def id_lists(ids: list[np.ndarray]) -> pa.Array:
 def encode(docs: DataFrame, codec: Codec, check: bool = True) -> DataFrame:
     """doc_id, n_tokens, token_ids; with check also SHA-256 digests of the ids (little-endian 32 bits each) and of the
     decoded text, and whether decoding gives the text's normal form back."""
-    shared = docs.sparkSession.sparkContext.broadcast(codec)
+    shared = ship(docs.sparkSession, codec)
     more = ", ids_sha256 string, text_sha256 string, round_trip boolean" if check else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = received(shared)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             for lo, hi in slices(texts):
@@ -220,10 +220,10 @@ def encode(docs: DataFrame, codec: Codec, check: bool = True) -> DataFrame:
 
 def decode(rows: DataFrame, codec: Codec, ids: str = "token_ids") -> DataFrame:
     """rows (doc_id, token_ids) back to (doc_id, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(codec)
+    shared = ship(rows.sparkSession, codec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = received(shared)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.decode(x.as_py() or []) for x in b.column(1)], pa.string())], names=["doc_id", "text"])
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import received, ship, table
 
 PER_CLASS, CACHE, SEED = 4_000, 400_000, 5
 DICT_BYTES, STEM, MIN_SHARE, MIN_RATIO, TOP, STEPS = 4096, 6, 0.03, 4.0, 4, (2, 3, 5)
@@ -136,10 +136,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[l
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = PER_CLASS) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted. Labels of held-out documents are not looked at."""
     model = Classifier(*training_rows(docs, labels.where(fold(folds) != 0), per_class))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries and a curve
+    shared = ship(docs.sparkSession, model)  # two dictionaries and a curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = received(shared)
         d = Distances(*own.dictionaries) if own.dictionaries else None
         for b in batches:
             s = np.concatenate([own.scores([(x.as_py() or "").encode()], d) for x in b.column(2)]) if len(b) else np.zeros(0)
