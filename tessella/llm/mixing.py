@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import cut
+
 SEED = 17
 #: A rates table of at most so many rows is broadcast; a larger one meets salted documents instead.
 BROADCAST_ROWS = 10_000
@@ -39,9 +41,10 @@ def tempered(docs: DataFrame, exponent: float = 0.5) -> DataFrame:
 def rates(docs: DataFrame, weights: DataFrame, budget: float | None = None) -> DataFrame:
     """(_source, _rate, _cdf): the mean repetition and the distribution function up to where a double reaches 1."""
     w = weights.where("weight > 0").select(F.col("source").alias("_w_source"), F.col("weight").cast("double").alias("_weight"))
-    has = sizes(docs).join(w, F.col("_source").eqNullSafe(F.col("_w_source"))).drop("_w_source")
-    whole = has.agg(F.sum("_weight").alias("_weights")).crossJoin(sizes(docs).agg(F.sum("_size").alias("_all")))  # one row by one row
-    r = has.join(F.broadcast(whole)).select("_source", (F.col("_weight") / F.col("_weights") * (F.lit(budget) if budget else F.col("_all")) / F.col("_size")).alias("_rate"))
+    each = cut(sizes(docs), "sizes")
+    has = cut(each.join(w, F.col("_source").eqNullSafe(F.col("_w_source"))).drop("_w_source"), "weighted")
+    shares, size = has.agg(F.sum("_weight")).first()[0] or 1.0, budget or each.agg(F.sum("_size")).first()[0] or 0.0  # two numbers
+    r = has.select("_source", (F.col("_weight") / F.lit(shares) * F.lit(float(size)) / F.col("_size")).alias("_rate"))
     k = r.select("_source", "_rate", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_rate") + 12 * F.sqrt("_rate") + 40).cast("int"))).alias("_k"))
     upto = Window.partitionBy("_source").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     k = k.withColumn("_p", F.exp(F.col("_k") * F.log("_rate") - F.col("_rate") - F.sum(F.log(F.greatest(F.col("_k"), F.lit(1)))).over(upto)))
