@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tessella.llm.common import by_size, table
 
@@ -85,7 +86,7 @@ def counters(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
         total = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
             goods = np.isin(b.column(0).to_numpy(zero_copy_only=False), trusted).tolist()
-            for some in by_size(zip(goods, raws(b.column(1)), strict=True), lambda x: len(x[1])):
+            for some in by_size(zip(goods, raws(b.column(1)), strict=True), lambda x: len(x[1]), 1 << 20):
                 for k, chosen in ((0, some), (1, [x for x in some if x[0]])):
                     if chosen:
                         total[k] += np.bincount(np.concatenate([grams(raw) for _, raw in chosen]), minlength=BUCKETS)
@@ -132,23 +133,21 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """The documents that judge() keeps, with all their columns, in one pass beside the counting pass."""
+    """The documents that judge() keeps, with all their columns; only texts go to Python, only verdicts come back."""
     w = docs.sparkSession.sparkContext.broadcast(weights(docs, labels, trusted_rows))
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = w.value
-        for b in batches:
-            ok = []
-            for t in b.column(at):
-                raw = (text := t.as_py() or "").encode()
-                g = grams(raw)
-                words = raw.split()
-                bad = len(words) < MIN_WORDS or 100 * repeat_words(words) > MAX_REPEAT_PERCENT * len(words)
-                ok.append(not bad and (table[g].sum(dtype=np.float64) / len(g) if len(g) else 0.0) >= threshold)
-            yield b.filter(pa.array(ok, pa.bool_()))
+    def verdict(raw: bytes) -> bool:
+        words = raw.split()
+        if len(words) < MIN_WORDS or 100 * repeat_words(words) > MAX_REPEAT_PERCENT * len(words):
+            return False
+        g = grams(raw)
+        return (float(w.value[g].sum(dtype=np.float64) / len(g)) if len(g) else 0.0) >= threshold
+
+    @F.arrow_udf(BooleanType())
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([verdict(r) for r in raws(text)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(run(F.col("text")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
