@@ -19,6 +19,8 @@ no columns but doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -36,8 +38,9 @@ _ODD = np.random.default_rng(7).integers(1, 1 << 63, (3, WIDTH), np.uint64) * np
 
 def hashed(words: list[bytes]) -> np.ndarray:
     """[2, n]: 128 bits a word; each different word is hashed once."""
-    seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+    seen = dict.fromkeys(words)
+    number = dict(zip(seen, range(len(seen)), strict=True))
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in seen]), "<u8").reshape(-1, 2).T
     return keys[:, ids] if len(words) else np.zeros((2, 0), np.uint64)
 
@@ -158,12 +161,12 @@ class Automaton:
     OTHER = "\x01\x01"
 
     def __init__(self, phrases: list[tuple[list[bytes], int]]) -> None:
-        seen = dict.fromkeys(w for p, _ in phrases for w in p)
+        seen = dict.fromkeys(chain.from_iterable(p for p, _ in phrases))
         base = 1 + int(len(seen) ** 0.5)
         self.codes = {w: chr(2 + n // base) + chr(2 + n % base) for n, w in enumerate(seen)}
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for p, first in phrases:
-            self.trie.add_word("".join([self.codes[w] for w in p]), (first, len(p)))
+            self.trie.add_word("".join(map(self.codes.__getitem__, p)), (first, len(p)))
         if phrases:
             self.trie.make_automaton()
 
@@ -195,19 +198,18 @@ def compile_shard(words: list[list[bytes]], whole: dict[tuple[int, int], int], s
     return Automaton(list(out.values()))
 
 
-def kept_words(words: list[list[bytes]], ids: list[int | None], phrases: pa.Array | None) -> list[list[bytes] | None]:
-    """What is left of the texts of a block; None where nothing goes."""
+def kept_words(raws: list[bytes], ids: list[int | None], phrases: pa.Array | None) -> Iterator[tuple[list[bytes], list[bytes] | None]]:
+    """The words of each text of a block, and what is left of them; None where nothing goes."""
     whole, single = {}, {}
     for w, a, b, first in zip(*(numbers(phrases, c).tolist() for c in ("whole", "h1", "h2", "first")), strict=True):
         (whole if w else single)[a, b] = first
     few = np.unique(np.array([k[0] for k in single], np.int64))
-    out: list[list[bytes] | None] = []
-    for lo, hi in slices([b" ".join(w) for w in words], SHARD):
-        shard = compile_shard([w for w, d in zip(words[lo:hi], ids[lo:hi], strict=True) if d is not None], whole, single, few)
-        for w, d in zip(words[lo:hi], ids[lo:hi], strict=True):
+    for lo, hi in slices(raws, SHARD):
+        words = [r.split() for r in raws[lo:hi]]
+        shard = compile_shard([w for w, d in zip(words, ids[lo:hi], strict=True) if d is not None], whole, single, few)
+        for w, d in zip(words, ids[lo:hi], strict=True):
             mask = None if d is None else shard.covered(w, d)
-            out.append(None if mask is None else [x for x, m in zip(w, mask.tolist(), strict=True) if not m])
-    return out
+            yield w, None if mask is None else [x for x, m in zip(w, mask.tolist(), strict=True) if not m]
 
 
 def found(packed: DataFrame) -> DataFrame:
@@ -224,11 +226,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and kept_sha256, of the words that are left, joined by one blank."""
 
     def run(_: int, rows: pa.Table, phrases: pa.Array | None) -> pa.Table:
-        words, ids = [r.split() for r in raws_of(rows.column("text"))], rows.column("doc_id").to_pylist()
-        kept = [w if k is None else k for w, k in zip(words, kept_words(words, ids, phrases), strict=True)]
-        digests = [hashlib.sha256(b" ".join(k)).hexdigest() for k in kept]
-        n, left = (np.array([len(w) for w in x], np.int64) for x in (words, kept))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": n, "n_removed": n - left, "kept_sha256": pa.array(digests, pa.string())})
+        ids, out = rows.column("doc_id").to_pylist(), []
+        for words, kept in kept_words(raws_of(rows.column("text")), ids, phrases):
+            left = words if kept is None else kept
+            out.append((len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
+        n, gone, digests = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
     packed = dealt(docs, blocks(docs), ["doc_id", "text"])
     return per_block(packed, found(packed), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -241,7 +244,7 @@ def without_phrases(docs: DataFrame) -> DataFrame:
 
     def run(_: int, rows: pa.Table, phrases: pa.Array | None) -> pa.Table:
         texts = rows.column("text").to_pylist()
-        kept = kept_words([r.split() for r in raws_of(rows.column("text"))], rows.column("doc_id").to_pylist(), phrases)
+        kept = [k for _, k in kept_words(raws_of(rows.column("text")), rows.column("doc_id").to_pylist(), phrases)]
         texts = [t if k is None else b" ".join(k).decode() for t, k in zip(texts, kept, strict=True)]
         new = {"text": pa.array(texts, pa.string())}
         if "n_chars" in columns:
