@@ -190,6 +190,67 @@ def deeper(left: DataFrame, nodes: DataFrame) -> DataFrame:
     return each.select(F.xxhash64("bucket", at, "_value").alias("bucket"), at.alias("last"), (F.col("depth") + 1).alias("depth"), "shared", "fp")
 
 
+def grams(texts: DataFrame) -> DataFrame:
+    """(fp, comp, n, kmer) of texts (fp, comp, text): a row for each of a text's n labelled k-mers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                hashes = [labelled(kmer_hashes(words_of(t.as_py()))).view(np.int64) for t in part.column(2)]
+                n = np.array([len(h) for h in hashes])
+                at = pa.array(np.repeat(np.arange(len(n)), n))
+                cols = [part.column(0).take(at), part.column(1).take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate(hashes))]
+                yield pa.RecordBatch.from_arrays(cols, names=["fp", "comp", "n", "kmer"])
+
+    return texts.select("fp", "comp", "text").mapInArrow(run, "fp binary, comp binary, n long, kmer long")
+
+
+def rare_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b) of different components: all pairs of texts (fp, comp, text) that can reach 0.8, and some others.
+
+    Two texts of 0.8 have 0.8 of the longer one's k-mers in common, so that each has one of these among its first
+    n - 0.8 n + 1 in any order that both use; here the rarest come first. Of a k-mer that they share, what follows it in
+    both must be enough for the rest.
+    """
+    each = cut(grams(texts), "grams")
+    ranked = each.join(each.groupBy("kmer").agg(F.count("*").alias("c")), "kmer")
+    first = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
+    lists = ranked.groupBy("fp", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("c", "kmer"))).alias("_all"))
+    heads = lists.select("fp", "comp", "n", F.posexplode(F.slice("_all", F.lit(1), first.cast("int"))).alias("at", "_one"))
+    heads = cut(heads.where("_one.c > 1").select("fp", "comp", "n", "at", F.col("_one.kmer").alias("kmer")), "heads")
+    mixed = heads.groupBy("kmer").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main")).where("lo < hi")
+    heads = cut(heads.join(mixed.select("kmer", "main"), "kmer"), "heads")
+    x = heads.where("comp <> main").alias("x")  # texts of a k-mer's largest component meet only the others
+    y = heads.alias("y")
+    once = "x.kmer = y.kmer AND x.comp <> y.comp AND (y.comp = y.main OR x.comp < y.comp)"
+    enough = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) AND 9 * least(x.n - x.at, y.n - y.at) >= 4 * (x.n + y.n)"
+    return x.join(y, F.expr(f"{once} AND {enough}")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+
+
+def apart(members: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) that share one of the buckets `members` (bucket, n, b) and that edges (u, v) do not connect: all of them in
+    buckets of up to SMALL texts, in larger ones all that can reach 0.8."""
+    labels = components(edges)
+    placed = members.select("bucket", "n", F.col("b").alias("fp")).join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    placed = cut(placed.select("bucket", "n", "fp", F.coalesce("label", "fp").alias("comp")), "placed")
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    still = cut(placed.join(several, "bucket"), "still")
+    few = still.where(F.col("n") <= SMALL)
+    x, y = few.alias("x"), few.alias("y")
+    near = x.join(y, F.expr("x.bucket = y.bucket AND x.comp < y.comp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    many = still.where(F.col("n") > SMALL).select("fp", "comp").distinct()
+    far = rare_pairs(cut(texts.join(many, "fp").select("fp", "comp", "text"), "open"))
+    return near.unionByName(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """(u, v) of linked texts by fingerprint; nodes (fp, first_id, sketch) has one row a text. None: no two agree."""
 
@@ -206,24 +267,27 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     if shared.isEmpty():
         return None
     members = met(crowd.drop("m").join(shared, "fp").withColumn("depth", F.lit(0)))
+    first = members.where("n > 2")
     wanted = cut(shared.select("fp").join(nodes.select("fp", "first_id"), "fp"), "wanted")
     own = docs.select(fingerprint().alias("fp"), F.col("doc_id").alias("first_id"), "text")
     some = own.join(wanted.withColumnsRenamed({"fp": "_fp", "first_id": "_id"}).hint("merge"), (F.col("fp") == F.col("_fp")) & F.col("first_id").eqNullSafe(F.col("_id")), "left_semi")
     texts = cut(some.select("fp", "text").dropDuplicates(["fp"]), "texts")
     release(docs.sparkSession)
     found: list[DataFrame] = []
+    known: list[DataFrame] = []
     while not members.isEmpty():
         release(docs.sparkSession)
         checked = cut(verify(members.where("a <> b").select("a", "b").distinct(), texts), "checked")
+        known.append(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         found.append(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
         left = cut(members.join(checked.where("not linked").select("a", "b"), ["a", "b"], "left_semi").withColumnRenamed("b", "fp").drop("a"), "left")
         down = (F.col("n") > SMALL) & (F.col("depth") < DEEPEST)
         stay = left.where(~down).select("bucket", "last", "depth", "shared", "fp")
         members = met(cut(stay.unionByName(deeper(left.where(down), nodes)), "next"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+    release(docs.sparkSession)
+    rest = apart(first, union(found), texts).join(union(known).distinct(), ["a", "b"], "left_anti")
+    checked = cut(verify(cut(rest, "rest"), texts), "checked")
+    return union([*found, checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))])
 
 
 def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

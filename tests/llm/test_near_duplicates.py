@@ -102,3 +102,35 @@ def test_components(spark):
     assert {got[i] for i in range(41)} == {0} and got[100] == 100 and got[201] == 200
     assert len(list(pairwise(range(3)))) == 2
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def linked_by(spark, texts, buckets):
+    """Links of texts by name, with hand-made sketches: buckets {position: [groups of names]}; all else is unshared."""
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts.values())])
+    names = dict(enumerate(texts))
+    nodes = []
+    for r in docs.select(O.fingerprint().alias("fp"), "doc_id").collect():
+        sketch = [1_000_000 + 1000 * r["doc_id"] + i for i in range(O.SKETCHES)]
+        for at, groups in buckets.items():
+            for g, group in enumerate(groups):
+                if names[r["doc_id"]] in group:
+                    sketch[at] = 100 * at + g
+        nodes.append((r["fp"], r["doc_id"], sketch))
+    of = {bytes(fp): names[i] for fp, i, _ in nodes}
+    found = O.links(docs, spark.createDataFrame(nodes, "fp binary, first_id long, sketch array<long>")).collect()
+    return {frozenset((of[bytes(r["u"])], of[bytes(r["v"])])) for r in found}
+
+
+def edited(words, places):
+    return [f"{x}x" if i in places else x for i, x in enumerate(words)]
+
+
+def test_a_text_linked_to_the_hub_meets_those_that_are_not(spark):
+    hub = [f"w{i}" for i in range(200)]
+    b = edited(hub, {20, 60, 100, 140})
+    c = edited(b, {40, 80, 120, 160})
+    texts = {n: " ".join(t) for n, t in {"hub": hub, "b": b, "c": c, "far": hub[::-1]}.items()}
+    for crowd in (0, 4):  # a small bucket, and one of more than SMALL texts
+        others = {f"o{i}": " ".join(f"o{i}v{j}" for j in range(50)) for i in range(crowd)}
+        got = linked_by(spark, texts | others, {3: [["hub", "b", "c", *others]], 5: [["hub", "far"]], 7: [["hub", "far"]]})
+        assert got == {frozenset(("hub", "b")), frozenset(("b", "c"))}
