@@ -6,16 +6,14 @@ A sketch is the sampled k-mers of ORDER fixed bins in the order of the text; two
 sampled the same k-mers there and have them in the same order, which makes agreement follow edit similarity and not the
 bag of words. SKETCHES such sketches are buckets.
 
-In a bucket all texts are compared with one, the text that shares most buckets with others: the hub of its copies. Those
-that are not linked to it go on to a next round with a hub of their own, until no bucket has two left, so a round costs
-a bucket its members and not their pairs, and no bucket has a cap. What is left of a bucket of more than SMALL texts
-after a round goes on in buckets of one more common sketch each, of the next REACH sketches. A pair is linked if an alignment within the band of
-diagonals that the threshold allows finds aligned / (n + m - aligned) >= SIMILARITY for the two k-mer sequences. Links
-make classes: connected components.
-
-Chance that two texts of similarity s share no bucket: about (1 - s ** ORDER) ** SKETCHES, under 2e-5 at 0.8; that no
-two of their common sketches are within REACH: about 2e-3 at 0.8, 1e-5 at 0.85. The latter matters only for texts that
-are in crowded buckets and are not linked to a hub.
+In a bucket all texts are first compared with one, the text that shares most buckets with others: the hub of its copies.
+Those that are not linked to it go on to a next round with a hub of their own; what is left of a bucket of more than
+SMALL texts goes on in buckets of one more common sketch each, of the next REACH sketches. These rounds only find most
+links soon: at last apart() compares all pairs of a bucket that the links so far do not connect, so no pair that shares a
+bucket is lost. A pair is linked if an alignment within the band of diagonals that the threshold allows finds
+aligned / (n + m - aligned) >= SIMILARITY for the two k-mer sequences. Links make classes: connected components.
+
+What can be lost are pairs that share no bucket; the README has measured shares of them by length.
 Equal texts are one node. Defined cases: a null text is empty; texts without words are alike; texts under K words are
 one k-mer; a null doc_id takes part by its text and class_id is the smallest doc_id of the class that is not null;
 repeated rows each get a row; empty tables give empty results; other columns are not read.

@@ -134,3 +134,11 @@ def test_a_text_linked_to_the_hub_meets_those_that_are_not(spark):
         others = {f"o{i}": " ".join(f"o{i}v{j}" for j in range(50)) for i in range(crowd)}
         got = linked_by(spark, texts | others, {3: [["hub", "b", "c", *others]], 5: [["hub", "far"]], 7: [["hub", "far"]]})
         assert got == {frozenset(("hub", "b")), frozenset(("b", "c"))}
+
+
+def test_leftovers_of_a_crowd_without_a_later_common_sketch(spark):
+    b = [f"w{i}" for i in range(200)]
+    others = {f"o{i}": " ".join(f"o{i}v{j}" for j in range(50)) for i in range(6)}
+    texts = {"b": " ".join(b), "c": " ".join(edited(b, {40, 120}))} | others
+    hub = {0: [["o0", "o1"]], 1: [["o0", "o1"]]}
+    assert linked_by(spark, texts, hub | {59: [list(texts)]}) == {frozenset(("b", "c"))}
