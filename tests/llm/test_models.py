@@ -85,3 +85,15 @@ def test_training_learns_what_follows_what():
     before = m.log_prob(c[-400:], t[-400:]).mean()
     m.train(c, t, log_q, state, rng)
     assert m.log_prob(c[-400:], t[-400:]).mean() > before + 0.8
+
+
+def test_training_takes_every_position(spark):
+    text = " ".join(["a b c d e"] * 100)[:-2]  # the end stands for the last e: targets at one place of five are alike
+    docs = frame(spark, [(i, text) for i in range(60)]).coalesce(1)
+    words = dict(zip([b"a", b"b", b"c", b"d", b"e"], [6000, 6000, 6000, 6000, 5940], strict=True)) | {L.END: 60}
+    counts = spark.createDataFrame([(bytearray(w), n) for w, n in words.items()], "token binary, c long")
+    v = L.Vocabulary(counts)
+    a = dict(zip(words, v.outputs(v.codes(list(words))), strict=True))
+    model = L.fit(docs, v)
+    for two, one, target in ((b"a", b"b", b"c"), (b"b", b"c", b"d"), (b"c", b"d", b"e"), (b"d", b"e", b"a"), (b"e", b"a", b"b")):
+        assert model.log_prob(np.array([[a[one], a[two]]]), np.array([a[target]]))[0] > math.log(0.5)
