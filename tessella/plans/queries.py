@@ -725,7 +725,7 @@ def _(rec):
 # --- Features and models ---------------------------------------------------------------------------------------------
 
 
-def pairwise_features(rec: DataFrame, top: int = 3) -> DataFrame:
+def pairwise_features(rec: DataFrame, top: int = V.K) -> DataFrame:
     return X.pairwise(V.candidates(rec).where(F.col("rank") <= top), X.represent(rec))
 
 
@@ -749,11 +749,11 @@ round(CASE WHEN a.name = '' OR b.name = '' THEN 0.0 ELSE least(length(a.name), l
 starts_with(candidate_entity_id, 'S2-')::BIGINT AS candidate_is_s2, starts_with(candidate_entity_id, 'S3-')::BIGINT AS candidate_is_s3 FROM (SELECT * FROM cand WHERE rank <= 3) JOIN fr a ON a.entity_id = source1_entity_id JOIN fr b ON b.entity_id = candidate_entity_id""", FEAT))
 def _(rec):
     some = "source1_name_missing candidate_address_missing name_exact name_token_jaccard name_char_ngram_similarity address_char_ngram_similarity address_common_token_count name_length_ratio numeric_overlap numeric_both_available numeric_disagreement country_match country_disagreement candidate_is_s2 candidate_is_s3".split()
-    return typed(pairwise_features(rec).select(*PAIR, *some))
+    return typed(pairwise_features(rec, 3).select(*PAIR, *some))
 
 
-def full_features(rec: DataFrame, top: int = 3) -> DataFrame:
-    pairs = V.candidates(rec).where(F.col("rank") <= top).select(*PAIR)
+def full_features(rec: DataFrame) -> DataFrame:
+    pairs = V.candidates(rec).select(*PAIR)
     cos = [B.cosine(pairs, t, t, T.padded_grams(F.col("text"), 2, 4)) for t in (rec.select("entity_id", T.plain_key(F.col(c)).alias("text")) for c in ("business_name", "business_address"))]
     return X.with_cosines(X.pairwise(pairs, X.represent(rec)), *cos)
 
@@ -765,13 +765,13 @@ def _(rec):
 
 @query("rich_features")
 def _(rec):
-    x = V.candidates(rec).where("rank <= 3")
+    x = V.candidates(rec)
     return typed(X.rich(x, X.keys(rec), B.token_rarity(rec, T.plain_key(F.col("business_name"))), C.record_stats(x)))
 
 
 @query("simple_features")
 def _(rec):
-    return typed(X.simple(V.candidates(rec).where("rank <= 3"), X.keys(rec)))
+    return typed(X.simple(V.candidates(rec), X.keys(rec)))
 
 
 SMALL = ["score", "rank", "best_score", "second_score", "n_s1", "is_best_s1", "margin_to_best", "owner_gap"]
