@@ -209,10 +209,10 @@ ADDRESS = "business_address || ' 012 North 5treet Road, Suite 7, New Delhi, West
 
 def address_sql() -> str:
     t = "' ' || replace(regexp_replace(replace(replace(lower({x}), '<null>', ' '), 'null', ' '), '[^a-z0-9]+', ' ', 'g'), ' ', '  ') || ' '".format(x=ADDRESS)
-    table = T.states()
+    table = T.STATES
     for name in sorted(table, key=lambda n: (-len(n), n)):
         t = f"replace({t}, ' {name.replace(' ', '  ')} ', ' {table[name].upper()} ')"
-    short = T.inverted(T.ADDRESS_SHORT)
+    short = T.ADDRESS_WORDS
     m = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in short.items()) + "}"
     return f"array_to_string(list_transform(list_filter(string_split(lower({t}), ' '), lambda w: w <> ''), lambda w: coalesce(element_at({m}, w)[1], w)), ' ')"
 
@@ -251,7 +251,7 @@ def _(rec):
     return rec.select("entity_id", F.array_join(F.array_sort(T.locality(F.concat("business_address", F.lit(", Some Town, ny")))), " ").alias("place"))
 
 
-FORMS = "MAP {" + ", ".join(f"'{w}': '{k}'" for w, k in T.inverted(T.LEGAL_FORMS).items()) + "}"
+FORMS = "MAP {" + ", ".join(f"'{w}': '{k}'" for w, k in T.LEGAL_FORMS.items()) + "}"
 
 
 @raw("legal_forms", f"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(string_split(replace(replace(regexp_replace(lower(p_name || ' Private Ltd L.L.C. ' || p_brand), '[^a-z0-9]+', ' ', 'g'), 'l l c', 'llc'), 'l l p', 'llp'), ' '), lambda w: w <> ''), lambda w: {FORMS}[w]), lambda f: f IS NOT NULL))), ' ') AS forms FROM part""")
