@@ -10,6 +10,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from math import isqrt
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +67,9 @@ def release(spark: SparkSession) -> None:
 
 
 def blocks(docs: DataFrame, text: str = "text", per_block: int = 6 << 20, least: int = 240) -> int:
-    """How many blocks of about per_block characters hold all texts; it follows the input."""
+    """How many blocks of about per_block characters hold all texts; from 10 GB on, blocks grow with the input's root."""
     chars = docs.agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + 64)).first()[0] or 0
-    return min(max(least, -(-chars // per_block)), 1 << 30)
+    return max(least, -(-chars // max(per_block, 64 * isqrt(chars))))
 
 
 def ship(spark: SparkSession, value: object) -> Broadcast:

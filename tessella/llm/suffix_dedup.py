@@ -1,45 +1,55 @@
 """Suffix-array dedup: bytes in WIDTH-byte strings that start in a document with a smaller doc_id are removed.
 
-Only stretches whose anchor (the smallest hash of GRAM bytes in a window) two documents have can repeat; these segments,
-at most MOST windows long, are collected by 128-bit hash, each different one once with the smallest and largest doc_id
-that has it. A segment that is alone with its anchor is its own answer. All others are read from a block that has them
-and go to shards by anchor. Of a shard, segments with a window whose rolling hash is not unique are the collection, and
-each shard builds the
-Burrows-Wheeler transform and the common prefixes of its whole collection column by column: a round inserts one more
-symbol of every segment, from the ends backwards, at places that ranks in the last round's transform give, and
-common prefixes follow from minima over the last round's. Each round reads the last round's arrays from one end to the
-other and writes new ones. They stay in memory, as a shard is bounded. Neighbours in suffix order with WIDTH common
-bytes are equal windows; the smallest doc_id of such a run is the window's.
-
-An anchor with more than HEAVY different segments (one line in front of countless different ones) does not go to one
-task: its windows are compared one by one, by Spark's grouping. Results return to the blocks of the documents.
+Only stretches whose anchor (the smallest hash of GRAM bytes in a window) two documents have can repeat. These segments, at
+most MOST windows long, are told apart by 128-bit hashes. Where an anchor has one segment alone, its smallest doc_id is
+the answer for all its windows. All other segments go, as text, to shards by anchor. Of a shard, segments with a window
+whose rolling hash is not unique are the collection, and each shard builds the Burrows-Wheeler transform and the common
+prefixes of its whole collection column by column: a round inserts one more symbol of every segment, from the ends
+backwards, at places that ranks in the last round's transform give, and common prefixes follow from minima over the last
+round's. Each round reads the last round's arrays from one end to the other and writes new ones. They stay in memory, as
+a shard is bounded. Neighbours in suffix order with WIDTH common bytes are equal windows; the smallest doc_id of such a run
+is the window's.
+
+An anchor that may have more than HEAVY different segments (one line in front of countless different ones) does not go to
+one task: its windows are compared one by one, by their hashes, dealt over all parts.
 Defined cases: a null text is empty; texts under WIDTH bytes lose none; rows that repeat a doc_id are one document and
-do not remove each other; rows without doc_id neither lose nor take anything; an empty table gives an empty result; no
-columns but doc_id and text are read.
+do not remove each other; equal texts lose all but the smallest doc_id's bytes; rows without doc_id neither lose nor take
+anything; an empty table gives an empty result; a very long text is a slice of its own, with about 60 bytes of numbers a
+byte; no columns but doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessella.llm.common import blocks, cut, discard, release, table
-from tessella.llm.recurring import BLOCK, between, dealt, listed, low, mix, numbers, per_block, raws_of, runs_of, shared_anchors, slices, sliding_min, usable, within
+from tessella.llm.common import blocks, discard, table
+from tessella.llm.recurring import Got, Question, Sent, between, dealt, groups, low, mix, numbers, of_group, per_block, raws_of, round_, runs_of, shared_anchors, slices, sliding_min, table_of, within
 
 WIDTH, GRAM = 50, 20
 MOST = WIDTH - GRAM + 1
+LONGEST = MOST + WIDTH - 1
 #: Segments of a shard, about; and of one anchor, at most.
 SHARD, HEAVY = 3_000, 8_000
 #: A byte that UTF-8 does not have stands before the first symbol of a text.
 END = 255
-RUNS = "array<struct<at:int,n:int,first:long>>"
+#: What is known of an anchor's segments: one alone, some, or too many for one task.
+ALONE, SOME, MANY = 0, 1, 2
+
+_NUMBER = np.random.default_rng(8).integers(1, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = 0x9E3779B97F4A7C15
+_UP, _DOWN = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(1 << 16, b, np.uint64)]) for b in (_ODD, pow(_ODD, -1, 1 << 64)))
+
+SPAN = np.dtype([("g1", "<i8"), ("g2", "<i8"), ("lo", "<i8"), ("hi", "<i8"), ("block", "<i4")])
+CROWD = np.dtype([("anchor", "<i8"), ("least", "<i8"), ("largest", "<i8"), ("n", "<i8"), ("block", "<i4")])
+ANCHORS = np.dtype([("anchor", "<i8"), ("kind", "<i4")])
+TEXT = np.dtype([("anchor", "<i8"), ("g1", "<i8"), ("g2", "<i8"), ("lo", "<i8"), ("hi", "<i8"), ("block", "<i4"), ("size", "<i4"), ("segment", f"V{LONGEST}")])
+FIRST = np.dtype([("g1", "<i8"), ("g2", "<i8"), ("first", "<i8")])
+RUN = np.dtype([("g1", "<i8"), ("g2", "<i8"), ("at", "<i4"), ("n", "<i4"), ("first", "<i8")])
 
 
 def anchors(raw: bytes) -> np.ndarray:
@@ -63,45 +73,116 @@ def find(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return text, a[starts]
 
 
-def segments(raws: list[bytes], some: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' bytes; starts, ends, texts and anchors of runs of windows, with some: of those with a known anchor."""
-    flat = b"".join(raws)
-    a = anchors(flat)
-    starts, stops, text = runs_of(a, np.array([len(r) for r in raws]), WIDTH, MOST)
-    ends, found = stops + WIDTH - 1, low(a[starts])
-    if some is not None:
-        keep = within(found, some)
-        starts, ends, text, found = starts[keep], ends[keep], text[keep], found[keep]
-    return flat, starts, ends, text, found
-
-
-def digest(segment: bytes) -> tuple[int, int]:
-    return struct.unpack("<qq", xxhash.xxh3_128_digest(segment))
-
-
-def suspects(packed: DataFrame, shared: DataFrame) -> DataFrame:
-    """(anchor, g1, g2, lo, hi, blocks): each different segment once, by its hash, written."""
-
-    def run(block: int, docs: pa.Table, anchors_: pa.Array | None) -> pa.Table:
-        some = np.sort(numbers(anchors_))
-        ids, raws = usable(docs) if len(some) else ([], [])
-        seen: dict[bytes, list[int]] = {}
-        for lo, hi in slices(raws):
-            flat, starts, ends, text, anchor = segments(raws[lo:hi], some)
-            for s, e, t, a in zip(starts.tolist(), ends.tolist(), text.tolist(), anchor.tolist(), strict=True):
-                d = ids[lo + t]
-                if (x := seen.get(key := flat[s:e])) is None:
-                    seen[key] = [a, d, d]
-                elif d < x[1]:
-                    x[1] = d
-                elif d > x[2]:
-                    x[2] = d
-        g = np.array([digest(k) for k in seen], np.int64).reshape(-1, 2)
-        x = np.array(list(seen.values()), np.int64).reshape(-1, 3)
-        return pa.table({"anchor": x[:, 0].copy(), "g1": g[:, 0].copy(), "g2": g[:, 1].copy(), "lo": x[:, 1].copy(), "hi": x[:, 2].copy(), BLOCK: np.full(len(x), block, np.int32)})
-
-    rows = per_block(packed, shared, run, f"anchor long, g1 long, g2 long, lo long, hi long, {BLOCK} int").repartition("g1", "g2")
-    return cut(rows.groupBy("anchor", "g1", "g2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct(F.col(BLOCK).alias("block"), "hi")).alias("blocks")), "segments")
+def hashes(flat: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each span of bytes, none longer than half of 1 << 16, in order of their starts: sums of the bytes'
+    numbers times powers of an odd number, and the lengths. The sums begin anew where they come to the end of the powers."""
+    x = np.frombuffer(flat, np.uint8)
+    out = np.empty((2, len(starts)), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, a + (1 << 15), "right")))
+        b = int(ends[i:j].max())
+        s, e = starts[i:j] - a, ends[i:j] - a
+        for k in (0, 1):
+            total = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(_NUMBER[k][x[a:b]] * _UP[: b - a], out=total[1:])
+            out[k, i:j] = mix((total[e] - total[s]) * _DOWN[s] ^ (e - s).astype(np.uint64))
+        i = j
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+class Segments:
+    """Runs of windows with one anchor in some texts: where they start and end (in bytes), and two hashes of each; with
+    some: those of known anchors."""
+
+    def __init__(self, raws: list[bytes], some: np.ndarray | None = None):
+        self.flat = b"".join(raws)
+        a = anchors(self.flat)
+        starts, stops, text = runs_of(a, np.array([len(r) for r in raws]), WIDTH, MOST)
+        anchor = low(a[starts])
+        if some is not None:
+            keep = within(anchor, some)
+            starts, stops, text, anchor = starts[keep], stops[keep], text[keep], anchor[keep]
+        self.starts, self.ends, self.text, self.anchor = starts, stops + WIDTH - 1, text, anchor
+        self.g1, self.g2 = hashes(self.flat, self.starts, self.ends)
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of chosen segments: their starts, texts and two hashes."""
+        n = self.ends[chosen] - self.starts[chosen] - WIDTH + 1
+        at = np.repeat(self.starts[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return at, np.repeat(self.text[chosen], n), *hashes(self.flat, at, at + WIDTH)
+
+
+def spans(g1: np.ndarray, g2: np.ndarray, doc: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each different hash once, with the smallest and the largest doc_id that has it; and where each stands."""
+    o, first = groups(g1, g2)
+    least, largest = (f.reduceat(doc[o], first) if len(first) else doc for f in (np.minimum, np.maximum))
+    at = o[first]
+    return table_of({"g1": g1[at], "g2": g2[at], "lo": least, "hi": largest, "block": block}, SPAN), at
+
+
+def gathered(parts: list[tuple[np.ndarray, ...]], n: int) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * n
+
+
+def send_segments(block: int, ids: list[int], raws: list[bytes], got: Got) -> Sent:
+    """Segments with a shared anchor by hash, and what each such anchor has of them."""
+    some, parts = np.sort(numbers(got, "shared")), []
+    for lo, hi in slices(raws) if len(some) else ():
+        x = Segments(raws[lo:hi], some)
+        parts.append((x.g1, x.g2, x.anchor, np.array(ids[lo:hi], np.int64)[x.text]))
+    g1, g2, anchor, doc = gathered(parts, 4)
+    rows, at = spans(g1, g2, doc, block)
+    o, first = groups(anchor[at])
+    key, g1 = anchor[at][o][first], rows["g1"][o]
+    least, largest = (f.reduceat(g1, first) if len(first) else g1 for f in (np.minimum, np.maximum))
+    crowd = table_of({"anchor": key, "least": least, "largest": largest, "n": np.diff(np.r_[first, len(o)]) if len(first) else first, "block": block}, CROWD)
+    return {"whole": (rows, rows["g1"]), "crowd": (crowd, crowd["anchor"])}
+
+
+def send_texts(block: int, ids: list[int], raws: list[bytes], got: Got) -> Sent:
+    """The different segments of anchors that have some, as text; windows of those that have many, by hash."""
+    kinds = numbers(got, "crowd", ANCHORS)
+    some, many = (np.sort(kinds["anchor"][kinds["kind"] == k]) for k in (SOME, MANY))
+    both = np.sort(kinds["anchor"])
+    parts, wins, flats = [], [], []
+    for lo, hi in slices(raws) if len(kinds) else ():
+        x = Segments(raws[lo:hi], both)
+        doc = np.array(ids[lo:hi], np.int64)
+        heavy = within(x.anchor, many)
+        light = np.flatnonzero(~heavy)
+        parts.append((x.g1[light], x.g2[light], x.anchor[light], doc[x.text[light]], np.full(len(light), len(flats)), x.starts[light], x.ends[light]))
+        flats.append(x.flat)
+        if heavy.any():
+            _, text, h1, h2 = x.windows(np.flatnonzero(heavy))
+            wins.append((h1, h2, doc[text]))
+    g1, g2, anchor, doc, flat, start, end = gathered(parts, 7)
+    rows, at = spans(g1, g2, doc, block)
+    own = [flats[k][s:e] for k, s, e in zip(flat[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True)]
+    out = table_of({"anchor": anchor[at], **{c: rows[c] for c in ("g1", "g2", "lo", "hi", "block")}, "size": np.array([len(t) for t in own], np.int32)}, TEXT)
+    out["segment"] = np.frombuffer(b"".join(t.ljust(LONGEST, b"\0") for t in own), f"V{LONGEST}")
+    each, _ = spans(*gathered(wins, 3), block)
+    return {"text": (out, out["anchor"]), "window": (each, each["g1"])}
+
+
+def recurring(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What two documents have, with the first, for each block that has a later document with it."""
+    o, first = groups(rows["g1"], rows["g2"])
+    rows = rows[o]
+    least = of_group(np.minimum, rows["lo"], first)
+    late = rows["hi"] > least
+    return rows["block"][late], table_of({"g1": rows["g1"][late], "g2": rows["g2"][late], "first": least[late]}, FIRST)
+
+
+def crowds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors that have different segments, for each block that has them, and whether they are many."""
+    o, first = groups(rows["anchor"])
+    rows = rows[o]
+    several = of_group(np.minimum, rows["least"], first) != of_group(np.maximum, rows["largest"], first)
+    kind = np.where(of_group(np.add, rows["n"], first) > HEAVY, MANY, np.where(several, SOME, ALONE))
+    keep = kind != ALONE
+    return rows["block"][keep], table_of({"anchor": rows["anchor"][keep], "kind": kind[keep]}, ANCHORS)
 
 
 def transform(texts: list[bytes], most: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -209,127 +290,102 @@ def firsts(texts: list[bytes], lo: np.ndarray, hi: np.ndarray) -> list[list[dict
     return out
 
 
-def texts_of(packed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (BLOCK, list of (anchor, g1, g2, lo, hi)) with the segments' bytes, read from the block that each names."""
-
-    def run(_: int, docs: pa.Table, want: pa.Array | None) -> pa.Table:
-        todo = dict(zip(zip(*(numbers(want, c).tolist() for c in ("g1", "g2")), strict=True), zip(*(numbers(want, c).tolist() for c in ("anchor", "lo", "hi")), strict=True), strict=True))
-        some = np.unique(numbers(want, "anchor"))
-        _, raws = usable(docs) if todo else ([], [])
-        rows = []
-        for lo, hi in slices(raws):
-            flat, starts, ends, *_ = segments(raws[lo:hi], some)
-            for segment in {flat[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)}:
-                if (x := todo.pop(g := digest(segment), None)) is not None:
-                    rows.append((*x, *g, segment))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=["anchor", "lo", "hi", "g1", "g2", "segment"])
-
-    return cut(per_block(packed, wanted, run, "anchor long, lo long, hi long, g1 long, g2 long, segment binary"), "texts")
-
-
-def resolved(packed: DataFrame, found: DataFrame) -> DataFrame:
-    """(BLOCK, list of (anchor, g1, g2, first, runs)): for each block its segments with windows that recur. runs is null for a
-    segment all of whose windows have the same first document."""
-    spark = found.sparkSession
-    per = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
-    alone = found.join(per.select("anchor"), "anchor", "left_anti").where("lo < hi").select("blocks", "anchor", "g1", "g2", F.col("lo").alias("first"), F.lit(None).cast(RUNS).alias("runs"))
-    crowd = cut(found.join(per, "anchor"), "crowd")
-    wanted = listed(crowd.select(F.array_min("blocks.block").alias(BLOCK), "anchor", "g1", "g2", "lo", "hi"), "anchor", "g1", "g2", "lo", "hi")
-    release(spark)
-    texts = texts_of(packed, wanted)
-    discard(wanted)
-    release(spark)
-    total = texts.count()
-    shards = max(60, -(-total // SHARD))
-
-    def shard(rows: pa.Table) -> pa.Table:
-        runs = firsts([x.as_py() for x in rows.column("segment")], rows.column("lo").to_numpy(), rows.column("hi").to_numpy())
-        kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("first", pa.int64())]))
-        return pa.table([*[rows.column(c).combine_chunks() for c in ("g1", "g2")], pa.array(runs, kind)], names=["g1", "g2", "runs"]).filter(pa.array([bool(x) for x in runs], pa.bool_()))
-
-    light = texts.join(per.where(F.col("n") <= HEAVY).select("anchor"), "anchor").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
-    answers = light.select("shard", "g1", "g2", "segment", "lo", "hi").groupBy("shard").applyInArrow(shard, f"g1 long, g2 long, runs {RUNS}")
-    if not per.where(F.col("n") > HEAVY).isEmpty():
-        heavy = texts.join(per.where(F.col("n") > HEAVY).select("anchor"), "anchor")
-        each = heavy.select("*", F.explode(F.sequence(F.lit(0), F.octet_length("segment") - WIDTH)).alias("at")).withColumn("window", F.expr(f"substring(segment, at + 1, {WIDTH})"))
-        sums = cut(each.groupBy("window").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last"), "windows")
-        hits = each.select("g1", "g2", "at", "window").join(sums, "window").groupBy("g1", "g2").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.lit(1).alias("n"), "first")).alias("runs"))
-        answers = answers.unionByName(hits)
-    answers = cut(answers, "answers")
-    discard(texts)
-    release(spark)
-    spread = crowd.select("anchor", "g1", "g2", "blocks").join(answers, ["g1", "g2"]).select("blocks", "anchor", "g1", "g2", F.lit(None).cast("long").alias("first"), "runs")
-    late = F.filter("blocks", lambda b: b["hi"] > F.coalesce("first", F.array_min("runs.first")))  # others lose nothing
-    each = alone.unionByName(spread).select(F.explode(late).alias("at"), "anchor", "g1", "g2", "first", "runs")
-    out = listed(each.select(F.col("at.block").alias(BLOCK), "anchor", "g1", "g2", "first", "runs"), "anchor", "g1", "g2", "first", "runs")
-    discard(found, per, crowd, answers)
-    return out
+def resolved(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a part's segments the runs of windows that two documents have, for each block with a later document; shards are
+    about SHARD segments, and whole anchors."""
+    o, first = groups(rows["anchor"], rows["g1"], rows["g2"])
+    rows = rows[o]
+    one = rows[first] if len(first) else rows
+    lo, hi = (f.reduceat(rows[c], first) if len(first) else rows[c] for f, c in ((np.minimum, "lo"), (np.maximum, "hi")))
+    texts = [t[:n] for t, n in zip(one["segment"].tolist(), one["size"].tolist(), strict=True)]
+    fresh = np.flatnonzero(np.r_[True, one["anchor"][1:] != one["anchor"][:-1]]) if len(one) else first
+    edges = [0]
+    for at in [*fresh.tolist(), len(one)]:
+        if at - edges[-1] >= SHARD or at == len(one) > edges[-1]:
+            edges.append(at)
+    runs = [x for a, b in zip(edges[:-1], edges[1:], strict=True) for x in firsts(texts[a:b], lo[a:b], hi[a:b])]
+    n = np.array([len(x) for x in runs], np.int64)
+    flat = [y for x in runs for y in x]
+    which = np.repeat(np.arange(len(one)), n)
+    found = table_of({"g1": one["g1"][which], "g2": one["g2"][which], "at": [y["at"] for y in flat], "n": [y["n"] for y in flat], "first": [y["first"] for y in flat]}, RUN)
+    # Each run goes to each block that has its segment in a later document.
+    copies = np.diff(np.r_[first, len(rows)]) if len(first) else first
+    m = copies[which]
+    run = np.repeat(np.arange(len(which)), m)
+    row = np.repeat(first[which] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+    late = rows["hi"][row] > found["first"][run]
+    return rows["block"][row[late]], found[run[late]]
+
+
+def marks(x: Segments, doc: np.ndarray, got: tuple[np.ndarray, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Starts and ends of what the texts of these segments lose."""
+    whole, runs, single, crowded, many = got
+    starts, ends = [], []
+    alone = ~within(x.anchor, crowded)
+    for known in (whole, runs):
+        a, b = np.searchsorted(known["g1"], x.g1, "left"), np.searchsorted(known["g1"], x.g1, "right")
+        n = b - a
+        which = np.repeat(np.arange(len(n)), n)
+        k = known[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ok = (k["g2"] == x.g2[which]) & (k["first"] < doc[x.text[which]]) & ((known.dtype == RUN) | alone[which])
+        which, k = which[ok], k[ok]
+        if known.dtype == RUN:
+            starts.append(x.starts[which] + k["at"])
+            ends.append(starts[-1] + k["n"] + WIDTH - 1)
+        else:
+            starts.append(x.starts[which])
+            ends.append(x.ends[which])
+    if len(single):
+        at, text, h1, h2 = x.windows(np.flatnonzero(within(x.anchor, many)))
+        k = np.minimum(np.searchsorted(single["g1"], h1), len(single) - 1)
+        ok = (single["g1"][k] == h1) & (single["g2"][k] == h2) & (single["first"][k] < doc[text])
+        starts.append(at[ok])
+        ends.append(at[ok] + WIDTH)
+    return starts, ends
 
 
 def removed(packed: DataFrame, answers: DataFrame, texts: bool) -> DataFrame:
     """One row a document; with texts also the bytes that are left."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
 
-    def run(_: int, docs: pa.Table, list_: pa.Array | None) -> pa.Table:
+    def run(_: int, docs: pa.Table, got: Got) -> Iterator[pa.RecordBatch]:
         raws, ids = raws_of(docs.column("text")), docs.column("doc_id").to_pylist()
-        marks: list[tuple[list[int], list[int]]] = [([], []) for _ in raws]  # starts and ends of what goes
-        use = [i for i, d in enumerate(ids) if d is not None] if list_ is not None else []
-        if use:
-            keys = np.stack([numbers(list_, "g1"), numbers(list_, "g2")], 1).astype("<i8").tobytes()
-            which = {keys[16 * j : 16 * j + 16]: j for j in range(len(list_))}
-            some, runs = np.unique(numbers(list_, "anchor")), list_.field("runs")
-            firsts_ = list_.field("first").fill_null(0).to_pylist()
-            edges = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False))].tolist()
-            flat_runs = runs.flatten()
-            at_, n_, f_ = (flat_runs.field(c).to_pylist() for c in ("at", "n", "first"))
+        kinds = numbers(got, "crowd", ANCHORS)
+        known = [np.sort(numbers(got, c, t), order="g1") for c, t in (("whole", FIRST), ("text", RUN), ("window", FIRST))]
+        known += [np.sort(kinds["anchor"]), np.sort(kinds["anchor"][kinds["kind"] == MANY])]
+        use = [i for i, d in enumerate(ids) if d is not None] if any(map(len, known)) else []
+        rows: list[tuple] = [(len(r), 0, 0, r) for r in raws]
         for lo, hi in slices([raws[i] for i in use]):
-            texts_ = [raws[i] for i in use[lo:hi]]
-            flat, starts, ends, text, _ = segments(texts_, some)
-            base = np.cumsum([0, *map(len, texts_)]).tolist()
-            for s, e, t in zip(starts.tolist(), ends.tolist(), text.tolist(), strict=True):
-                if (j := which.get(xxhash.xxh3_128_digest(flat[s:e]))) is not None:
-                    i, s, n = use[lo + t], s - base[t], e - s - WIDTH + 1
-                    a, b = edges[j], edges[j + 1]
-                    if a == b:
-                        if firsts_[j] < ids[i]:
-                            marks[i][0].append(s)
-                            marks[i][1].append(s + n + WIDTH - 1)
-                    else:
-                        for k in range(a, b):
-                            if f_[k] < ids[i]:
-                                marks[i][0].append(s + at_[k])
-                                marks[i][1].append(s + at_[k] + n_[k] + WIDTH - 1)
-        rows = []
-        for raw, (starts, ends) in zip(raws, marks, strict=True):
-            n = spans = 0
-            if starts:
-                mask = between(starts, ends, len(raw))
-                n, spans = int(mask.sum()), int((np.diff(np.r_[0, mask.astype(np.int8)]) == 1).sum())
-                kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
-            else:
-                kept = raw
-            rows.append((len(raw), n, spans, hashlib.sha256(kept).hexdigest(), kept)[: 5 if texts else 4])
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * (5 if texts else 4)
-        return pa.table([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)]], names=[x.split()[0] for x in schema.split(", ")])
+            some = use[lo:hi]
+            x = Segments([raws[i] for i in some])
+            starts, ends = map(np.concatenate, marks(x, np.array([ids[i] for i in some], np.int64), known))
+            if not len(starts):
+                continue
+            gone = between(starts, ends, len(x.flat))
+            at = 0
+            for i in some:
+                mask, at = gone[at : at + len(raws[i])], at + len(raws[i])
+                if n := int(np.count_nonzero(mask)):
+                    spans_ = int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(mask[0])
+                    rows[i] = (len(mask), n, spans_, np.frombuffer(raws[i], np.uint8)[~mask].tobytes())
+        cols = list(zip(*((*r[:3], hashlib.sha256(r[3]).hexdigest(), r[3]) for r in rows), strict=True)) if rows else [()] * 5
+        kinds_ = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+        out = [pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds_, strict=True)]]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        yield pa.RecordBatch.from_arrays(out if texts else out[:5], names=names if texts else names[:5])
 
     return per_block(packed, answers, run, schema)
 
 
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with texts kept, the remaining bytes."""
-    spark = docs.sparkSession
-    packed = dealt(docs, blocks(docs), ["doc_id", "text"])
-    release(spark)
-    shared = shared_anchors(packed, find)
-    release(spark)
-    found = suspects(packed, shared)
+    packed = dealt(docs, n := blocks(docs), ["doc_id", "text"])
+    shared = shared_anchors(packed, find, n)
+    segments = round_(packed, shared, send_segments, n, whole=Question(SPAN, recurring), crowd=Question(CROWD, crowds))
     discard(shared)
-    release(spark)
-    answers = resolved(packed, found)
-    release(spark)
-    return removed(packed, answers, texts)
+    crowd = segments.where("kind = 'crowd'")
+    answers = round_(packed, crowd, send_texts, n, text=Question(TEXT, resolved), window=Question(SPAN, recurring))
+    return removed(packed, segments.unionByName(answers), texts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
