@@ -1,112 +1,217 @@
 """Language-model scoring: a log-bilinear model trained in numpy with noise-contrastive estimation.
 
-Tokens are words (ASCII letters in lower case) and one end a text. Counts of all training tokens are kept whole, in a
-table. The model predicts OUTPUTS symbols from the two tokens before: the most frequent words, and CLASSES classes of
+Tokens are words (ASCII letters in lower case) and one end a text. Texts are dealt to blocks by doc_id and text and coded
+once: a block keeps its different words as 96-bit hashes and its texts as numbers of these. Counts of all training tokens
+are whole: blocks send theirs, dealt by hash, and get the sums of their own words back (no key costs a block more than one
+number). The model predicts OUTPUTS symbols from the two tokens before: the most frequent words, and CLASSES classes of
 all other words, by their last two bytes; a word of a class then has its smoothed share of that class's counts, so that the
 probabilities of seen words and one unseen word a class add up to 1. A hidden vector is the sum of two context
 vectors, each scaled by its position's weights; its products with all output vectors plus biases go through a softmax
-(logZ is computed once for each different context of a batch).
+(logZ is computed once for each different context of a block).
 
-Training: every partition runs Adagrad over its own positions from common parameters, with NOISE shared samples a
-minibatch; parameters are averaged with the positions as weights, ROUNDS times. Each round takes the positions of every
-training document whose number modulo the rounds is the round: together they take every position once.
+Training: every block runs Adagrad over all positions of its training documents from common parameters, with NOISE shared
+samples a minibatch; a round takes the blocks whose number modulo ROUNDS is the round's, and averages their parameters
+with the positions as weights. Together the rounds take every position once. Blocks, their order and their random numbers
+follow from the table alone, so that scores do not depend on files, partitions or executors, but for rounding.
 
-Scores: words that make up at least 1 / HEAD of the training tokens (so at most HEAD of them) are looked up in each
-task; all others are joined with the table of counts, where by this rule no key is frequent.
 Defined cases: a null text is empty and has one token, the end; a null doc_id is held out, as '' would be; no training
-tokens at all give N = V = 0 and a uniform model; repeated rows each get a row; other columns are not read.
+tokens at all give N = V = 0 and a uniform model; repeated rows each get a row; a very long text makes its block larger, at
+about 100 bytes of numbers a token; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, received, ship, table
+from tessella.llm.common import blocks, cut, discard, received, ship, table
+from tessella.llm.phrase_dedup import Words
+from tessella.llm.recurring import groups, mix, parcels, raws_of, slices
 
 OUTPUTS, CLASSES, DIM = 1024, 128, 16
-NOISE, BATCH, RATE, ROUNDS, SEED = 48, 512, 0.15, 2, 3
-HEAD, LONGEST, ADD = 1 << 21, 64, 0.1
-END = b""  # no word is empty
+NOISE, BATCH, RATE, ROUNDS, SEED = 48, 512, 0.15, 4, 3
+ADD, LEAST_BLOCKS = 0.1, 60
+WORDS = OUTPUTS - CLASSES
+#: A block's word: its hash, its count in the block's training texts, and its class.
+WORD = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("c", "<u4"), ("klass", "u1")])
+TOP = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("c", "<i8"), ("klass", "u1")])
+END = (np.uint64(0), np.uint32(0))  # the end's hash
 
 
-def tokens(text: str | None) -> list[bytes]:
-    out = (text or "").encode().lower().split()
-    out.append(END)
-    return out
-
-
-def klass(token: bytes) -> int:
-    return zlib.crc32(token[-2:]) % CLASSES
+@cache
+def classes() -> np.ndarray:
+    """The class of each pair of last bytes, then of each single byte."""
+    two = (bytes((a, b)) for a in range(256) for b in range(256))
+    return np.array([zlib.crc32(x) % CLASSES for x in (*two, *(bytes((a,)) for a in range(256)))], np.uint8)
 
 
 def held_out(folds: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(token binary, c long) over all texts; summed in each batch before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column(0):
-                seen.update(tokens(t.as_py()))
-                if len(seen) > 300_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["token", "c"])
-                    seen = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["token", "c"])
-
-    return docs.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
-
-def is_head(n: int) -> Column:
-    """At most HEAD words reach 1 / HEAD of the tokens; the end is always one of them."""
-    return ((F.col("c") * HEAD >= n) & (F.length("token") <= LONGEST)) | (F.length("token") == 0)
+def coded(raws: list[bytes], held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of some texts (as WORD), the number of each token in them, and tokens of each text."""
+    h1, h2, klass, ns = [], [], [], []
+    for lo, hi in slices(raws):
+        w = Words([r.lower() for r in raws[lo:hi]])
+        x = np.frombuffer(w.flat, np.uint8)
+        last, one = x[w.ends - 1].astype(np.int64), w.ends - w.starts == 1
+        h1.append(w.hashes[0])
+        h2.append((w.hashes[1] >> np.uint64(32)).astype(np.uint32))
+        klass.append(classes()[np.where(one, 65536 + last, x[w.ends - 2].astype(np.int64) * 256 + last)])
+        ns.append(w.n)
+    one, two, kind = (np.concatenate(x) for x in (h1, h2, klass))
+    n = np.concatenate(ns)
+    at = np.cumsum(n)
+    one, two, kind = np.insert(one, at, END[0]), np.insert(two, at, END[1]), np.insert(kind, at, 0)
+    o, first = groups(one)
+    if (two[o][1:] != two[o][:-1])[one[o][1:] == one[o][:-1]].any():  # 64 bits were not enough
+        o, first = groups(one, two)
+    codes = np.empty(len(one), np.int32)
+    codes[o] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(one)]))
+    words = np.empty(len(first), WORD)
+    words["h1"], words["h2"], words["klass"] = one[o][first], two[o][first], kind[o][first]
+    words["c"] = np.bincount(codes[np.repeat(~held, n + 1)], minlength=len(first))
+    return words, codes, n + 1
+
+
+def code_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs (doc_id, text, held_out) as a written table with a row a block, and how many blocks there may be."""
+    n = blocks(docs, least=LEAST_BLOCKS)
+    schema = "block int, doc_id array<long>, held array<boolean>, n array<long>, codes binary, words binary"
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("text", "ascending")]))
+        held = rows.column("held_out").to_numpy()
+        words, codes, sizes = coded(raws_of(rows.column("text")), held)
+        cols = [pa.array([rows.column("block")[0].as_py()], pa.int32()), *[pa.array([x], pa.list_(k)) for x, k in ((rows.column("doc_id").to_pylist(), pa.int64()), (held, pa.bool_()), (sizes, pa.int64()))]]
+        data = [pa.array([x], pa.binary()) for x in (zstandard.compress(codes.tobytes(), 1), words.tobytes())]
+        return pa.table([*cols, *data], names=[x.split()[0] for x in schema.split(", ")])
+
+    own = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    return cut(own.groupBy("block").applyInArrow(run, schema), "coded"), n
+
+
+def part_of(words: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(words["h1"]) >> np.uint64(33)).astype(np.int64) % parts
 
 
 class Vocabulary:
-    """What every task needs of the counts: at most HEAD words, and sums by class."""
-
-    def __init__(self, counts: DataFrame):
-        got = counts.agg(F.sum("c"), F.count("*")).first()
-        self.n, self.v = got[0] or 0, got[1]
-        rows = counts.where(is_head(self.n)).collect() if self.n else []
-        rows = sorted(((bytes(r.token), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
-        self.words = OUTPUTS - CLASSES
-        top = {w for w, _ in rows[: self.words]}
-        of = F.pmod(F.crc32(F.substring("token", -2, 2)), F.lit(CLASSES))
-        sums = {r[0]: (r[1], r[2]) for r in counts.groupBy(of).agg(F.sum("c"), F.count("*")).collect()}
-        for w, c in rows[: self.words]:
-            k = klass(w)
-            sums[k] = (sums[k][0] - c, sums[k][1] - 1)
-        self.class_n = np.array([sums.get(k, (0, 0))[0] for k in range(CLASSES)], np.float64)
-        self.class_z = np.array([sums.get(k, (0, 0))[0] + ADD * (sums.get(k, (0, 0))[1] + 1) for k in range(CLASSES)])
+    """What every task needs of the counts: the most frequent words, and sums by class."""
+
+    def __init__(self, sums: list[tuple]):
+        """sums: (n, v, class counts, class words, top words) of disjoint parts of the words."""
+        self.n, self.v = (sum(int(x[k]) for x in sums) for k in (0, 1))
+        self.class_n, class_v = (sum((x[k] for x in sums), np.zeros(CLASSES)) for k in (2, 3))
+        top = best(np.concatenate([np.zeros(0, TOP), *(x[4] for x in sums)]))
+        for w in top:
+            self.class_n[w["klass"]] -= w["c"]
+            class_v[w["klass"]] -= 1
+        self.class_z = self.class_n + ADD * (class_v + 1)
         self.z = self.n + ADD * (self.v + 1)
-        self.head = {w: i for i, (w, _) in enumerate(rows)}
-        c = np.array([c for _, c in rows], np.float64)
-        self.output = np.array([i if w in top else self.words + klass(w) for i, (w, _) in enumerate(rows)], np.int64)
-        self.base = np.log10((c + ADD) / self.z)
-        inside = np.log10((c + ADD) / self.class_z[[klass(w) for w, _ in rows]]) if rows else c
-        self.within = np.where(self.output < self.words, 0.0, inside)
         share = np.full(OUTPUTS, ADD)
-        share[: min(len(c), self.words)] += c[: self.words]
-        share[self.words :] += self.class_n
+        share[: len(top)] += top["c"]
+        share[WORDS:] += self.class_n
         self.log_q = np.log(share / share.sum()).astype(np.float32)
+        self.rank = np.argsort(top["h1"])
+        self.top = top[self.rank]
+
+    def outputs(self, words: np.ndarray) -> np.ndarray:
+        """The symbol that stands for each word."""
+        out = WORDS + words["klass"].astype(np.int64)
+        if len(self.top):
+            at = np.minimum(np.searchsorted(self.top["h1"], words["h1"]), len(self.top) - 1)
+            same = (self.top["h1"][at] == words["h1"]) & (self.top["h2"][at] == words["h2"])
+            out[same] = self.rank[at[same]]
+        return out
+
+
+def best(words: np.ndarray) -> np.ndarray:
+    """The most frequent words; ties go by hash."""
+    return words[np.lexsort((words["h2"], words["h1"], -words["c"]))[:WORDS]]
+
+
+def summary(words: np.ndarray) -> tuple:
+    seen = words[words["c"] > 0]
+    return int(seen["c"].sum()), len(seen), np.bincount(seen["klass"], seen["c"], CLASSES), np.bincount(seen["klass"], minlength=CLASSES).astype(float), best(seen)
+
+
+def counted(coded_: DataFrame, parts: int) -> tuple[DataFrame, Vocabulary]:
+    """(block, part, data): the counts, over all training texts, of the words that a block sent to a part; and the
+    vocabulary."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = np.frombuffer(raw.as_py(), WORD)
+                out = list(parcels(part_of(words, parts), words))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([block] * len(out), pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["part", "block", "data"])
+
+    def answer(rows: pa.Table) -> pa.Table:
+        own = [np.frombuffer(x.as_py(), WORD) for x in rows.column("data")]
+        words = np.concatenate(own)
+        o, first = groups(words["h1"], words["h2"])
+        sums = np.add.reduceat(words["c"][o].astype(np.int64), first)
+        each = np.empty(len(words), np.int64)
+        each[o] = np.repeat(sums, np.diff(np.r_[first, len(words)]))
+        top = np.empty(len(first), TOP)
+        for c in ("h1", "h2", "klass"):
+            top[c] = words[c][o][first]
+        top["c"] = sums
+        back = [x.tobytes() for x in np.split(each, np.cumsum([len(x) for x in own])[:-1])]
+        part = rows.column("part")[0].as_py()
+        return pa.table({"block": pa.array([*rows.column("block").to_pylist(), -1], pa.int32()), "part": pa.array([part] * (len(back) + 1), pa.int32()), "data": pa.array([*back, pickle.dumps(summary(top))], pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: tuple | None = None
+        for b in batches:
+            for x in b.column(0):
+                new = pickle.loads(x.as_py())
+                got = new if got is None else (*(p + q for p, q in zip(got[:4], new[:4], strict=True)), best(np.concatenate([got[4], new[4]])))
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got)], pa.binary())], names=["data"])
+
+    sent = coded_.select("block", "words").mapInArrow(send, "part int, block int, data binary")
+    answers = cut(sent.groupBy("part").applyInArrow(answer, "block int, part int, data binary"), "counts")
+    sums = answers.where("block = -1").select("data").repartition(8).mapInArrow(merge, "data binary").collect()  # 8 rows
+    return answers, Vocabulary([pickle.loads(bytes(r[0])) for r in sums])
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        """A word's number in the head, or -1 - class."""
-        get = self.head.get
-        return np.array([i if (i := get(w)) is not None else -1 - klass(w) for w in words], np.int64)
 
-    def outputs(self, codes: np.ndarray) -> np.ndarray:
-        return np.where(codes >= 0, self.output[np.maximum(codes, 0)] if len(self.output) else 0, self.words - 1 - codes)
+def numbered(coded_: DataFrame, answers: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
+    """Blocks with symbols for words, and each text's sums that need no model; a written table."""
+    shared = ship(coded_.sparkSession, vocabulary)
+    schema = "block int, doc_id array<long>, held array<boolean>, n array<long>, known array<long>, base array<double>, inside array<double>, symbols binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = received(shared)
+        for b in batches:
+            for i in range(len(b)):
+                n = np.array(b.column(3)[i].as_py())
+                codes = np.frombuffer(zstandard.decompress(b.column(4)[i].as_py()), np.int32)
+                words = np.frombuffer(b.column(5)[i].as_py(), WORD)
+                c = np.empty(len(words), np.int64)
+                got = sorted((x["part"], x["data"]) for x in b.column(6)[i].as_py())
+                c[np.argsort(part_of(words, parts), kind="stable")] = np.frombuffer(b"".join(d for _, d in got), np.int64)
+                out = voc.outputs(words)
+                inside = np.where(out < WORDS, 0.0, np.log10((c + ADD) / voc.class_z[words["klass"]]))
+                at = np.r_[0, np.cumsum(n)[:-1]]
+                sums = [np.add.reduceat(x[codes], at) for x in ((c > 0).astype(np.int64), np.log10((c + ADD) / voc.z), inside)]
+                lists = [pa.array([x], pa.list_(k)) for x, k in zip(sums, (pa.int64(), pa.float64(), pa.float64()), strict=True)]
+                symbols = zstandard.compress(out.astype("<u2")[codes].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([*[b.column(k)[i : i + 1] for k in range(4)], *lists, pa.array([symbols], pa.binary())], names=[x.split()[0] for x in schema.split(", ")])
+
+    own = answers.where("block >= 0").groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("part", "data")).alias("got"))
+    both = coded_.join(own, F.col("block") == F.col("_block")).drop("_block")
+    return cut(both.mapInArrow(run, schema), "symbols")
 
 
 class Model:
@@ -139,13 +244,15 @@ class Model:
         each, which = np.unique(key, return_inverse=True)
         h = self.hidden(np.stack([each // (OUTPUTS + 1), each % (OUTPUTS + 1)], 1))
         log_z = np.empty(len(each), np.float32)
-        for i in range(0, len(each), 2048):
-            s = h[i : i + 2048] @ self.q.T
-            s += self.b
-            top = s.max(1, keepdims=True)
-            s -= top
+        ones, q = np.ones(OUTPUTS, np.float32), np.c_[self.q, self.b].T.copy()
+        for i in range(0, len(each), 512):
+            part = np.c_[h[i : i + 512], np.ones(len(h[i : i + 512]), np.float32)]
+            # One bound for all symbols of a context, in place of their maximum, keeps exp() in range.
+            bound = np.sqrt((part[:, :-1] ** 2).sum(1) * (self.q**2).sum(1).max()) + self.b.max() - 60
+            s = part @ q
+            s -= np.maximum(bound, 0)[:, None]
             np.exp(s, out=s)
-            log_z[i : i + 2048] = np.log(s.sum(1)) + top[:, 0]
+            log_z[i : i + 512] = np.log(s @ ones) + np.maximum(bound, 0)
         out = np.empty(len(targets), np.float32)
         for i in range(0, len(targets), 1 << 16):
             w, t = which[i : i + (1 << 16)], targets[i : i + (1 << 16)]
@@ -163,7 +270,11 @@ class Model:
             h = self.hidden(c)
             qt, qn = self.q[t], self.q[n]
             pos = -1 / (1 + np.exp(np.clip((h * qt).sum(1) + self.b[t] - shift[t], -30, 30)))
-            neg = 1 / (1 + np.exp(-np.clip(h @ qn.T + self.b[n] - shift[n], -30, 30)))
+            neg = h @ -qn.T
+            neg += shift[n] - self.b[n]
+            np.exp(np.minimum(neg, 60, out=neg), out=neg)
+            neg += 1
+            np.reciprocal(neg, out=neg)
             dh = pos[:, None] * qt + neg @ qn
             grads = [np.zeros_like(x) for x in (self.r, self.q, self.p, self.b)]
             grads[0] += summed(np.concatenate([c[:, 0], c[:, 1]]), np.concatenate([dh * self.p[0], dh * self.p[1]]), len(self.r))
@@ -182,56 +293,45 @@ def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(cells, rows.ravel(), n * rows.shape[1]).reshape(n, rows.shape[1])
 
 
-def windows(outputs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All contexts [n, 2] (nearest first) and targets of some texts; each text begins after two starts."""
-    start = np.full(2, OUTPUTS, np.int64)
-    flat = np.concatenate([y for x in outputs for y in (start, x)])
+def windows(symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All contexts [tokens, 2] (nearest first) and targets of texts of n tokens each; a text begins after two starts."""
+    flat = np.insert(symbols.astype(np.int64), np.repeat(np.cumsum(n) - n, 2), OUTPUTS)
     at = np.flatnonzero(flat != OUTPUTS)
     return np.stack([flat[at - 1], flat[at - 2]], 1), flat[at]
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """docs: training texts only."""
-    spark, model = docs.sparkSession, Model(vocabulary.log_q)
-    shared = ship(spark, vocabulary)
+def fit(symbols: DataFrame, log_q: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """A model of the training documents of all blocks of numbered()."""
+    spark, model = symbols.sparkSession, Model(log_q)
     for k in range(rounds):
-        flat = spark.sparkContext.broadcast(model.flat())
-
-        def run(batches: Iterator[pa.RecordBatch], k: int = k, flat=flat) -> Iterator[pa.RecordBatch]:
-            voc = received(shared)
-            own = Model(voc.log_q).load(flat.value)
-            state = [np.full(x.shape, 1.0, np.float32) for x in (own.r, own.q, own.p, own.b)]
-            rng, n, some, size = np.random.default_rng(SEED + k), 0, [], 0
-
-            def learn() -> int:
-                c, t = windows(some)
-                c, t = c[k::rounds], t[k::rounds]
-                order = rng.permutation(len(t))
-                own.train(c[order], t[order], voc.log_q, state, rng)
-                return len(t)
+        flat = spark.sparkContext.broadcast((model.flat(), log_q))  # 34 thousand numbers
+        shared = ship(spark, Model)
 
+        def run(batches: Iterator[pa.RecordBatch], flat=flat, shared=shared) -> Iterator[pa.RecordBatch]:
+            kind, (start, log_q) = received(shared), flat.value
+            total, positions = np.zeros(len(start)), 0
             for b in batches:
-                for x in b.column(0):
-                    some.append(voc.outputs(voc.codes(tokens(x.as_py()))))
-                    size += len(some[-1])
-                    if size > 500_000:
-                        n += learn()
-                        some.clear()
-                        size = 0
-            n += learn() if some else 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(own.flat().astype(np.float64) * n).tobytes()])], names=["n", "sum"])
+                for block, held, n, data in zip(b.column(0).to_pylist(), *b.columns[1:], strict=True):
+                    use, n = ~np.array(held.as_py()), np.array(n.as_py())
+                    c, t = windows(np.frombuffer(zstandard.decompress(data.as_py()), "<u2")[np.repeat(use, n)], n[use])
+                    own, rng = kind(log_q).load(start), np.random.default_rng([SEED, block])
+                    order = rng.permutation(len(t))
+                    own.train(c[order], t[order], log_q, [np.full(x.shape, 1.0, np.float32) for x in (own.r, own.q, own.p, own.b)], rng)
+                    total += own.flat().astype(np.float64) * len(t)
+                    positions += len(t)
+            if positions:
+                yield pa.RecordBatch.from_arrays([pa.array([positions]), pa.array([total.tobytes()])], names=["n", "sum"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, total = 0, None
+            n, total = 0, 0.0
             for b in batches:
-                for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    n, v = n + i, np.frombuffer(x.as_py())
-                    total = v.copy() if total is None else total + v
+                n += sum(b.column(0).to_pylist())
+                total = sum((np.frombuffer(x.as_py()) for x in b.column(1)), total)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()])], names=["n", "sum"])
 
-        parts = docs.select("text").mapInArrow(run, "n long, sum binary").repartition(8).mapInArrow(add, "n long, sum binary").collect()
+        chosen = symbols.where(F.col("block") % rounds == k).select("block", "held", "n", "symbols")
+        parts = chosen.mapInArrow(run, "n long, sum binary").repartition(8).mapInArrow(add, "n long, sum binary").collect()
         if parts:
             model.load(sum(np.frombuffer(bytes(r[1])) for r in parts) / sum(r[0] for r in parts))
     return model
@@ -239,70 +339,26 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
 
 def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     """One row a document: the contract's columns."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", held_out(folds).alias("held_out"))
-    training = docs.where("not held_out")
-    counts = cut(token_counts(training), "counts")
-    voc = Vocabulary(counts)
-    model = fit(training, voc)
-    shared = ship(spark, (voc, model.flat()))
-    fp = F.xxhash64(F.coalesce("text", F.lit("")))  # beside doc_id it tells rows apart that share one
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, flat = received(shared)
-        model = Model(voc.log_q).load(flat)
-        for b in batches:
-            for lo, hi in spans(b.column(3)):
-                codes = [voc.codes(tokens(x.as_py())) for x in b.column(3)[lo:hi]]
-                n = np.array([len(c) for c in codes])
-                every = np.concatenate(codes)
-                known = every >= 0
-                c, t = windows([voc.outputs(x) for x in codes])
-                p = model.log_prob(c, t).astype(np.float64) / np.log(10)
-                base = np.zeros(len(every))
-                base[known] = voc.base[every[known]]
-                p[known] += voc.within[every[known]]
-                at = np.r_[0, np.cumsum(n)[:-1]]
-                cols = [pa.array(n), *[pa.array(np.add.reduceat(x, at)) for x in (known.astype(np.int64), base, p)]]
-                yield pa.RecordBatch.from_arrays([*[b.column(i)[lo:hi] for i in range(3)], *cols], names=["doc_id", "held_out", "fp", "n_tokens", "h_known", "h_base", "h_score"])
+    own = docs.select("doc_id", "text", held_out(folds).alias("held_out"))
+    coded_, parts = code_blocks(own)
+    answers, vocabulary = counted(coded_, parts)
+    symbols = numbered(coded_, answers, vocabulary, parts)
+    discard(coded_, answers)
+    shared = ship(docs.sparkSession, fit(symbols, vocabulary.log_q))
+    train_tokens = vocabulary.n
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = received(shared)[0].head
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = received(shared)
         for b in batches:
-            for lo, hi in spans(b.column(2)):
-                at, words, n = [], [], []
-                for i, x in enumerate(b.column(2)[lo:hi]):
-                    own = Counter(w for w in tokens(x.as_py()) if w not in head and w != END)
-                    at += [i] * len(own)
-                    words += own.keys()
-                    n += own.values()
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi].take(take), b.column(1)[lo:hi].take(take), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["doc_id", "fp", "token", "n"])
-
-    first = docs.select("doc_id", "held_out", fp.alias("fp"), "text").mapInArrow(heads, "doc_id long, held_out boolean, fp long, n_tokens long, h_known long, h_base double, h_score double")
-    rest = docs.select("doc_id", fp.alias("fp"), "text").mapInArrow(tails, "doc_id long, fp long, token binary, n long")
-    z = F.element_at(F.array(*[F.lit(float(x)) for x in voc.class_z]), (F.pmod(F.crc32(F.substring("token", -2, 2)), F.lit(CLASSES)) + 1).cast("int"))
-    c = F.coalesce("c", F.lit(0))
-    few = rest.join(counts.where(~is_head(voc.n)), "token", "left").groupBy("doc_id", "fp").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("t_known"), F.sum(F.col("n") * F.log10((c + ADD) / F.lit(float(voc.z)))).alias("t_base"), F.sum(F.col("n") * F.log10((c + ADD) / z)).alias("t_score")
-    )
-    rows = docs.groupBy(F.col("doc_id").alias("_doc_id"), fp.alias("_fp")).agg(F.count("*").alias("rows"))
-    sums = rows.join(few, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("fp") == F.col("_fp")), "left")
-    sums = sums.select("_doc_id", "_fp", *[(F.coalesce(x, F.lit(0)) / F.col("rows")).alias(x) for x in ("t_known", "t_base", "t_score")])
-    both = first.join(sums, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("fp") == F.col("_fp")))
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("h_known") + F.round("t_known").cast("long")).alias("n_known"), F.lit(int(voc.n)).cast("long").alias("train_tokens"), (F.col("h_base") + F.col("t_base")).alias("base_score"), (F.col("h_score") + F.col("t_score")).alias("score"))
-
-
-def spans(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Slices of a batch with about `most` bytes of text each."""
-    lo, n = 0, 0
-    for i, x in enumerate(texts):
-        n += len(x.as_py() or "") + 64
-        if n > most:
-            yield lo, i + 1
-            lo, n = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+            for i in range(len(b)):
+                ids, held, n, known, base, inside = (b.column(k)[i].values for k in range(1, 7))
+                sizes = n.to_numpy()
+                c, t = windows(np.frombuffer(zstandard.decompress(b.column(7)[i].as_py()), "<u2"), sizes)
+                p = np.add.reduceat(model.log_prob(c, t).astype(np.float64), np.r_[0, np.cumsum(sizes)[:-1]]) / np.log(10)
+                yield pa.RecordBatch.from_arrays([ids, held, n, known, pa.array(np.full(len(sizes), train_tokens)), base, pa.array(p + inside.to_numpy())], names=[x.split()[0] for x in schema.split(", ")])
+
+    return symbols.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
