@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,14 +51,18 @@ def jaro_winkler_score(a: str, b: str) -> float:
     if a == b:
         return 1.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
+    free: dict[str, deque[int]] = {}
+    for j, c in enumerate(b):
+        free.setdefault(c, deque()).append(j)
     taken = [False] * len(b)
     left = []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
+        if at := free.get(c):
+            while at and at[0] < i - reach:  # reaches only move on, so what lies behind one is never taken
+                at.popleft()
+            if at and at[0] <= i + reach:
+                taken[at.popleft()] = True
                 left.append(c)
-                break
     if not left:
         return 0.0
     right = [c for c, t in zip(b, taken, strict=True) if t]
@@ -83,29 +89,48 @@ def ratio_score(a: str, b: str) -> float:
     return 200 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def window_strands(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """(s, e) such that the longest common subsequence of a and b[i:j] is j - i less the number of s >= i with e < j.
+
+    A strand starts above each place of b and beside each place of a; in a cell of the grid two strands cross where the
+    characters match or where they have crossed before. Cells of a diagonal do not depend on each other.
+    """
+    m, n = len(a), len(b)
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a[::-1], b))
+    beside, above = np.arange(m, dtype=np.int32), np.arange(m, m + n, dtype=np.int32)
+    for d in range(m + n - 1):
+        lo, hi = max(0, d - m + 1), min(n, d + 1)
+        h, v = beside[m - 1 - d + lo : m - 1 - d + hi], above[lo:hi]
+        cross = x[m - 1 - d + lo : m - 1 - d + hi] == y[lo:hi]
+        cross |= h > v
+        h[:], v[:] = np.where(cross, v, h), np.where(cross, h, v)
+    e = np.flatnonzero(above >= m)
+    return above[e] - m, e
+
+
 def partial_score(a: str, b: str) -> float:
     """The best ratio of the shorter string and a stretch of the longer one that is as long or cut off by an end.
 
-    A stretch that moves by one place gains at most one match, so places that cannot beat the best are passed over.
+    All stretches follow from one grid of the two strings.
     """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n, best, i = len(a), 0, 0
-    while i + n <= len(b):
-        got = common_subsequence(a, b[i : i + n])
-        i += max(1, best - got + 1)
-        best = max(best, got)
-    score = 100 * best / n
-    for k in range(n - 1, 0, -1):  # stretches at the ends
-        if 200 * k / (n + k) <= score:
-            break
-        ends = [ratio_score(a, b[:k]), ratio_score(a, b[-k:])]
-        if len(b) == n:
-            ends += [ratio_score(b, a[:k]), ratio_score(b, a[-k:])]
-        score = max(score, *ends)
-    return score
+    if a in b:
+        return 100.0
+    best = 0.0
+    for x, y in ((a, b), (b, a)) if len(a) == len(b) else ((a, b),):
+        m, n = len(x), len(y)
+        s, e = window_strands(x, y)
+        lo, hi = np.maximum(e - m + 1, 0), np.minimum(s, n - m)
+        ok = lo <= hi
+        lost = np.cumsum(np.bincount(lo[ok], minlength=n + 2) - np.bincount(hi[ok] + 1, minlength=n + 2))[: n - m + 1]
+        k = np.arange(1, m)
+        front = k - np.cumsum(np.bincount(e, minlength=n))[: m - 1]
+        back = k - np.cumsum(np.bincount(s, minlength=n)[::-1])[: m - 1]
+        best = max(best, 100 * (m - int(lost.min())) / m, *(float((200 * f / (m + k)).max()) for f in (front, back) if m > 1))
+    return best
 
 
 def token_sort_score(a: str, b: str) -> float:

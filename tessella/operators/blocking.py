@@ -9,6 +9,8 @@ from __future__ import annotations
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +42,10 @@ def exact_candidates(queries: DataFrame, index: DataFrame, key: Column, k: int)
 
 
 def postings(records: DataFrame, tokens: Column) -> DataFrame:
-    """(id, country, term, tf, first): how often each record has each term, counted within its row; `first` marks one
-    posting of each record. Records have unique ids."""
-    t = records.select(F.col("entity_id").alias("id"), "country", tokens.alias("_t"))
-    each = t.select("id", "country", "_t", F.posexplode(F.array_distinct("_t")).alias("_n", "term"))
-    return each.select("id", "country", "term", (F.size("_t") - F.size(F.array_remove("_t", F.col("term")))).alias("tf"), (F.col("_n") == 0).alias("first"))
+    """(id, country, term, tf, first): how often each record has each term; `first` marks one posting of each record.
+    Records have unique ids."""
+    t = records.select(F.col("entity_id").alias("id"), "country", F.posexplode(tokens).alias("_n", "term"))
+    return t.groupBy("id", "country", "term").agg(F.count("*").alias("tf"), (F.min("_n") == 0).alias("first"))
 
 
 def idf(index: DataFrame, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
@@ -68,19 +69,86 @@ def weights(table: DataFrame, idf_table: DataFrame) -> DataFrame:
     return weighted(t.select("id", "country", "term", (F.col("tf") * F.col("idf")).alias("x")))
 
 
-def products(q: DataFrame, c: DataFrame, on: list[str]) -> DataFrame:
-    """Cosines of all pairs that share a term, rounded so that the order of addition cannot change a rank."""
-    left = q.withColumnsRenamed({"id": PAIR[0], "w": "wq"})
-    right = c.withColumnsRenamed({"id": PAIR[1], "w": "wc"})
-    both = left.join(right, on).withColumn("s", F.col("wq") * F.col("wc"))
-    return both.groupBy(*PAIR).agg(F.round(F.sum("s"), 6).alias("score")).where("score > 0")
+def vectors(x: DataFrame) -> DataFrame:
+    """(id, country, terms, w): one row a record of (id, country, term, x), with terms as 64-bit hashes, in order, and x
+    over the record's norm."""
+    each = F.struct(F.xxhash64("term").alias("t"), "x")
+    per = x.groupBy("id", "country").agg(F.array_sort(F.collect_list(each)).alias("_p"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
+    return per.select("id", "country", F.col("_p.t").alias("terms"), F.transform("_p.x", lambda v: v / F.col("_norm")).alias("w"))
+
+
+#: Records of a block, at least; blocks grow with the root of a country's records, so that copies for the grid grow slower.
+BLOCK = 1024
+_CELLS = 1 << 22
+
+
+def grid(q: DataFrame, c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the places (_q, _c) of a grid of blocks for each country: a block of queries has a row of places,
+    a block of index records a column. A task holds one block of each side, however large a country is."""
+    sizes = lambda x, n: x.groupBy(F.col("country").alias("_country")).agg(F.count("*").alias(n))
+    both = sizes(q, "_nq").join(sizes(c, "_nc"), "_country")
+    parts = lambda n: F.ceil(F.col(n) / F.greatest(F.lit(BLOCK), 8 * F.sqrt(n))).cast("int")
+    both = both.select("_country", parts("_nq").alias("_pq"), parts("_nc").alias("_pc"))
+
+    def placed(x: DataFrame, own: str, other: str, at: str, along: str) -> DataFrame:
+        x = x.join(both, F.col("country") == F.col("_country"))
+        return x.select("country", "id", "terms", "w", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(at), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(along))
+
+    return placed(q, "_pq", "_pc", "_q", "_c"), placed(c, "_pc", "_pq", "_c", "_q")
+
+
+def _flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, weights and sizes of a table's vectors."""
+    terms, w = (t.column(n).combine_chunks() for n in ("terms", "w"))
+    return terms.flatten().to_numpy(), w.flatten().to_numpy(), np.diff(terms.offsets.to_numpy())
+
+
+def best_of_block(q: pa.Table, c: pa.Table, k: int) -> pa.Table:
+    """The k best index records of each query by cosine, rounded so that the order of addition cannot change a rank; ties
+    go to the smaller id. Products are added up for some queries at a time, in memory that is bounded."""
+    c = c.sort_by("id")
+    term, weight, n = _flat(c)
+    record, m = np.repeat(np.arange(len(n)), n), len(n)
+    o = np.argsort(term, kind="stable")
+    term, weight, record = term[o], weight[o], record[o]
+    known, first = np.unique(term, return_index=True)
+    count = np.diff(np.r_[first, len(term)])
+    qt, qw, qn = _flat(q)
+    at = np.minimum(np.searchsorted(known, qt), max(len(known) - 1, 0))
+    hits = np.where(known[at] == qt, count[at], 0) if len(known) else np.zeros(len(qt), np.int64)
+    row = np.repeat(np.arange(len(qn)), qn)
+    work = np.cumsum(np.bincount(row, hits, len(qn)) + m)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    lo = 0
+    while lo < len(qn):
+        hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + _CELLS, "right")))
+        own = slice(*np.searchsorted(row, [lo, hi]))
+        h = hits[own]
+        where = np.repeat(first[at[own]] - (np.cumsum(h) - h), h) + np.arange(h.sum())
+        cell = np.repeat((row[own] - lo) * m, h) + record[where]
+        s = np.round(np.bincount(cell, np.repeat(qw[own], h) * weight[where], (hi - lo) * m), 6).reshape(hi - lo, m)
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        r, j = np.nonzero(np.take_along_axis(s, top, 1) > 0)
+        out.append((r + lo, top[r, j], s[r, top[r, j]]))
+        lo = hi
+    r, j, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    return pa.table([q.column("id").combine_chunks().take(pa.array(r)), c.column("id").combine_chunks().take(pa.array(j)), pa.array(s.astype(np.float64))], names=[*PAIR, "score"])
+
+
+def best_pairs(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
+    """(pair, score): of each query and country the k best index records of each block of records, all terms counted."""
+    keys = ["country", "_q", "_c"]
+    left, right = grid(q, c)
+    right = right.select(*[F.col(n).alias(f"{n}_") for n in keys], "id", "terms", "w")  # both may come from one table
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"{n}_" for n in keys])).applyInArrow(lambda a, b: best_of_block(a, b, k), f"{PAIR[0]} string, {PAIR[1]} string, score double")
 
 
 class TfidfBlocker:
     """Cosine top-K within a country over terms of a token column; queries are weighted with the index side's idf.
 
-    max_df bounds the join: without it a term that every record has pairs all records. With open_set, queries of a
-    country that the index lacks search every country, each with that country's weights.
+    Terms that every record has make nearly all pairs of a country share something, so pairs are not joined by term: blocks
+    of queries meet blocks of index records, and each such task keeps the k best. With open_set, queries of a country that
+    the index lacks search every country, each with that country's weights.
     """
 
     def __init__(self, tokens: Column, min_df: int = 1, max_df: float = 1.0, open_set: bool = False):
@@ -89,15 +157,16 @@ class TfidfBlocker:
     def candidates(self, queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
         post = postings(index, self.tokens)
         table = idf(post, self.min_df, self.max_df)
-        asked, held = postings(queries, self.tokens), weights(post, table)
-        scored = products(weights(asked, table), held, ["country", "term"])
+        own = table.select("country", "term", "idf")
+        asked = postings(queries, self.tokens)
+        x = (F.col("tf") * F.col("idf")).alias("x")
+        wanted = asked.join(own, ["country", "term"]).select("id", "country", "term", x)
         if self.open_set:
             known = post.select("country").distinct()
             far = asked.join(known, "country", "left_anti").drop("country")
-            own = table.select("country", "term", "idf")
-            spread = far.join(own, "term").select("id", "country", "term", (F.col("tf") * F.col("idf")).alias("x"))
-            scored = scored.unionByName(products(weighted(spread), held, ["country", "term"]))
-        return top_k(scored, k)
+            wanted = wanted.unionByName(far.join(own, "term").select("id", "country", "term", x))
+        held = post.join(own, ["country", "term"]).select("id", "country", "term", x)
+        return top_k(best_pairs(vectors(wanted), vectors(held), k), k)
 
 
 def reverse(blocker: Blocker, s1: DataFrame, pool: DataFrame, k: int) -> DataFrame:

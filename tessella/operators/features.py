@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import similarity as S
@@ -43,6 +43,13 @@ def sides(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return pairs.join(a, S1).join(b, CAND)
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt over all cores: comparing long strings costs far more than their bytes, by which Spark would put pairs
+    of some megabytes into one task."""
+    spark = pairs.sparkSession
+    return pairs.repartition(2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *PAIR)
+
+
 def unmatched(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """Ids of pairs that have no record."""
     ids = pairs.select(F.col(S1).alias("entity_id")).union(pairs.select(CAND)).distinct()
@@ -104,15 +111,13 @@ def keys(records: DataFrame, ascii=T.ascii_text) -> DataFrame:
 def rich(pairs: DataFrame, keyed: DataFrame, rarity: DataFrame | None, competition: DataFrame) -> DataFrame:
     """The third feature set (49 numbers, 45 without rarity): pairs (score, rank), keys(), token_rarity(), record_stats()."""
     rec = keyed if rarity is None else keyed.join(rarity, "entity_id", "left")
-    j = sides(pairs, rec).join(competition, CAND, "left")
+    top = F.max("score").over(Window.partitionBy(S1))
+    j = spread(sides(pairs.withColumn("_top", top), rec).join(competition, CAND, "left"))
     a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
     nosp = lambda x: F.replace(x, F.lit(" "), F.lit(""))
     nums = lambda s: T.words(s("nums"))
     forms = lambda s: T.words(s("lg"))
-    from pyspark.sql import Window
-
-    top = F.max("score").over(Window.partitionBy(S1))
-    j = j.withColumns({"_top": top, "_d": S.token_diff(a("nn"), b("nn")), "_inter": S.common(nums(a), nums(b)), "_la": F.size(nums(a)), "_lb": F.size(nums(b))})
+    j = j.withColumns({"_d": S.token_diff(a("nn"), b("nn")), "_inter": S.common(nums(a), nums(b)), "_la": F.size(nums(a)), "_lb": F.size(nums(b))})
     out = {
         "score": F.col("score"), "rank": F.col("rank"), "ratio_top": S.guarded(F.col("score"), F.col("_top")), "gap_top": F.col("_top") - F.col("score"), "src3": flag(F.col(CAND).startswith("S3")),
         "n_ratio": S.ratio(a("nn"), b("nn")), "n_tset": S.token_set_ratio(a("nn"), b("nn")), "n_tsort": S.token_sort_ratio(a("nn"), b("nn")), "n_part": S.partial_ratio(a("nn"), b("nn")), "n_jw": S.jaro_winkler(a("nn"), b("nn")),
@@ -133,7 +138,7 @@ def rich(pairs: DataFrame, keyed: DataFrame, rarity: DataFrame | None, competiti
 
 def simple(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
     """Five features: equal names, equal addresses, Jaro-Winkler of both, token-set ratio of names."""
-    j = sides(pairs.select(*PAIR), keyed.select("entity_id", "nn", "na"))
+    j = spread(sides(pairs.select(*PAIR), keyed.select("entity_id", "nn", "na")))
     n, m = (F.col("a.nn"), F.col("b.nn")), (F.col("a.na"), F.col("b.na"))
     return j.select(*PAIR, flag(n[0] == n[1]).alias("name_exact"), flag(m[0] == m[1]).alias("address_exact"), S.jaro_winkler(*n).alias("name_jw"), S.jaro_winkler(*m).alias("address_jw"), S.token_set_ratio(*n).alias("name_token_set"))
 

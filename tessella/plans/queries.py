@@ -237,10 +237,10 @@ def _(rec):
     return rec.select("entity_id", T.non_ascii(x).alias("nonlatin"), *[v.alias(k) for k, v in T.scripts(x).items()])
 
 
-@query("postal_codes", sql(r"SELECT entity_id, array_to_string(list_distinct(regexp_extract_all(business_address || ' 12345-6789 123456', '\b[0-9]{5}(?:-[0-9]{4})?\b')), ',') AS us, array_to_string(list_distinct(regexp_extract_all(business_address || ' 12345-6789 123456', '\b[0-9]{6}\b')), ',') AS india FROM rec WHERE entity_id LIKE 'S1-%'"))
+@query("postal_codes", sql(r"SELECT entity_id, array_to_string(list_distinct(regexp_extract_all(business_address || ' 12345-6789 123456', '\b[0-9]{5}(?:-[0-9]{4})?\b')), ',') AS us, array_to_string(list_distinct(regexp_extract_all(business_address || ' 12345-6789 123456', '\b[0-9]{6}\b')), ',') AS india FROM rec"))
 def _(rec):
     x = F.concat("business_address", F.lit(" 12345-6789 123456"))
-    return s1(rec).select("entity_id", F.array_join(T.postal_codes(x, F.lit("US")), ",").alias("us"), F.array_join(T.postal_codes(x, F.lit("India")), ",").alias("india"))
+    return rec.select("entity_id", F.array_join(T.postal_codes(x, F.lit("US")), ",").alias("us"), F.array_join(T.postal_codes(x, F.lit("India")), ",").alias("india"))
 
 
 PARTS = "list_filter(list_transform(string_split(business_address || ', Some Town, ny', ','), lambda p: " + PLAIN.format(x="p").replace("{{", "{").replace("}}", "}") + "), lambda p: p <> '')"
@@ -272,9 +272,9 @@ def _(rec):
 
 
 @query("padded_grams", sql(r"""SELECT entity_id, gram, count(*) AS n FROM (SELECT entity_id, unnest(list_concat(list_transform(range(1, greatest(length(p) - 1, 1)), lambda i: substr(p, i::INT, 3)), list_transform(range(1, greatest(length(p) - 2, 1)), lambda i: substr(p, i::INT, 4)))) AS gram
-FROM (SELECT entity_id, ' ' || unnest(list_filter(string_split(lower(business_name), ' '), lambda w: w <> '')) || ' ' AS p FROM s1)) GROUP BY ALL"""))
+FROM (SELECT entity_id, ' ' || unnest(list_filter(string_split(lower(business_name), ' '), lambda w: w <> '')) || ' ' AS p FROM rec)) GROUP BY ALL"""))
 def _(rec):
-    each = s1(rec).select("entity_id", F.explode(T.padded_grams(F.lower("business_name"), 3, 4)).alias("gram"))
+    each = rec.select("entity_id", F.explode(T.padded_grams(F.lower("business_name"), 3, 4)).alias("gram"))
     return each.groupBy("entity_id", "gram").agg(F.count("*").alias("n"))
 
 
@@ -391,16 +391,15 @@ def _(rec):
 GRAM = "unnest(list_transform(range(1, greatest(length(p) - 1, 1)), lambda i: substr(p, i::INT, 3)))"
 
 
-@query("tfidf_cosine", sql(f"SELECT c.source1_entity_id, c.candidate_entity_id, coalesce(round(sum(a.w * b.w), 6), 0.0) AS cosine FROM (SELECT * FROM cand WHERE rank <= 3) c LEFT JOIN w a ON a.id = c.source1_entity_id LEFT JOIN w b ON b.id = c.candidate_entity_id AND b.term = a.term GROUP BY 1, 2",
+@query("tfidf_cosine", sql(f"SELECT c.source1_entity_id, c.candidate_entity_id, coalesce(round(sum(a.w * b.w), 6), 0.0) AS cosine FROM cand c LEFT JOIN w a ON a.id = c.source1_entity_id LEFT JOIN w b ON b.id = c.candidate_entity_id AND b.term = a.term GROUP BY 1, 2",
 f"txt AS (SELECT entity_id, {PLAIN.format(x='business_name')} AS text FROM rec)",
 f"tg AS (SELECT text, term, count(*) AS tf FROM (SELECT text, {GRAM} AS term FROM (SELECT text, ' ' || unnest({SPLIT.format(x='text')}) || ' ' AS p FROM (SELECT DISTINCT text FROM txt WHERE text <> ''))) GROUP BY ALL)",
 "ti AS (SELECT term, ln((1 + (SELECT count(DISTINCT text) FROM tg))::DOUBLE / (1 + count(*))) + 1 AS idf FROM tg GROUP BY term)",
-"tv AS (SELECT term FROM tg GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 2000)",
+"tv AS (SELECT term FROM tg GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 50000)",
 "w AS (SELECT entity_id AS id, term, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY entity_id)) AS w FROM txt JOIN tg USING (text) JOIN ti USING (term) WHERE term IN (SELECT term FROM tv))"))
 def _(rec):
     text = rec.select("entity_id", T.plain_key(F.col("business_name")).alias("text"))
-    pairs = V.candidates(rec).where("rank <= 3").select(*PAIR)
-    return B.cosine(pairs, text, text, T.padded_grams(F.col("text"), 3, 3), 2000)
+    return B.cosine(V.candidates(rec).select(*PAIR), text, text, T.padded_grams(F.col("text"), 3, 3))
 
 
 # --- Joins and labels ------------------------------------------------------------------------------------------------
@@ -725,8 +724,8 @@ def _(rec):
 # --- Features and models ---------------------------------------------------------------------------------------------
 
 
-def pairwise_features(rec: DataFrame, top: int = V.K) -> DataFrame:
-    return X.pairwise(V.candidates(rec).where(F.col("rank") <= top), X.represent(rec))
+def pairwise_features(rec: DataFrame) -> DataFrame:
+    return X.pairwise(V.candidates(rec), X.represent(rec))
 
 
 @query("pair_features", None)
@@ -746,10 +745,10 @@ FEAT = f"""fr AS (SELECT *, {SPLIT.format(x='name')} AS nt, {SPLIT.format(x='add
 round({JAC.format(a='a.ng', b='b.ng')}, 6) AS name_char_ngram_similarity, round({JAC.format(a='a.ag', b='b.ag')}, 6) AS address_char_ngram_similarity, len(list_intersect(list_distinct(a.at), list_distinct(b.at)))::BIGINT AS address_common_token_count,
 round(CASE WHEN a.name = '' OR b.name = '' THEN 0.0 ELSE least(length(a.name), length(b.name))::DOUBLE / greatest(length(a.name), length(b.name)) END, 6) AS name_length_ratio, round({JAC.format(a='a.nums', b='b.nums')}, 6) AS numeric_overlap,
 (len(a.nums) > 0 AND len(b.nums) > 0)::BIGINT AS numeric_both_available, (len(a.nums) > 0 AND len(b.nums) > 0 AND list_sort(a.nums) <> list_sort(b.nums))::BIGINT AS numeric_disagreement, (a.country = b.country)::BIGINT AS country_match, (a.country <> b.country)::BIGINT AS country_disagreement,
-starts_with(candidate_entity_id, 'S2-')::BIGINT AS candidate_is_s2, starts_with(candidate_entity_id, 'S3-')::BIGINT AS candidate_is_s3 FROM (SELECT * FROM cand WHERE rank <= 3) JOIN fr a ON a.entity_id = source1_entity_id JOIN fr b ON b.entity_id = candidate_entity_id""", FEAT))
+starts_with(candidate_entity_id, 'S2-')::BIGINT AS candidate_is_s2, starts_with(candidate_entity_id, 'S3-')::BIGINT AS candidate_is_s3 FROM cand JOIN fr a ON a.entity_id = source1_entity_id JOIN fr b ON b.entity_id = candidate_entity_id""", FEAT))
 def _(rec):
     some = "source1_name_missing candidate_address_missing name_exact name_token_jaccard name_char_ngram_similarity address_char_ngram_similarity address_common_token_count name_length_ratio numeric_overlap numeric_both_available numeric_disagreement country_match country_disagreement candidate_is_s2 candidate_is_s3".split()
-    return typed(pairwise_features(rec, 3).select(*PAIR, *some))
+    return typed(pairwise_features(rec).select(*PAIR, *some))
 
 
 def full_features(rec: DataFrame) -> DataFrame:
@@ -763,14 +762,16 @@ def _(rec):
     return M.rule_score(full_features(rec))
 
 
-@query("rich_features")
-def _(rec):
+@raw("rich_features")
+def _(spark, sf_dir):
+    rec = V.part_records(spark, sf_dir)
     x = V.candidates(rec)
     return typed(X.rich(x, X.keys(rec), B.token_rarity(rec, T.plain_key(F.col("business_name"))), C.record_stats(x)))
 
 
-@query("simple_features")
-def _(rec):
+@raw("simple_features")
+def _(spark, sf_dir):
+    rec = V.part_records(spark, sf_dir)
     return typed(X.simple(V.candidates(rec), X.keys(rec)))
 
 

@@ -1,7 +1,7 @@
 """Business records and their truth, as views over the driver's tables, in Spark and in SQL.
 
-Documents become records: source, name, address and country come from doc_id, text and lang. Records with an equal name
-are true matches, each record with the smallest S1.
+Documents become records: source, name, address and country come from doc_id, text and lang; the name is a text's first 40
+characters, the address all others. Records with an equal name are true matches, each record with the smallest S1.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from tessella.functions import text as T
 from tessella.operators.blocking import PAIR, TfidfBlocker
 
 S1, CAND = PAIR
-K, MIN_DF, MAX_DF = 10, 2, 0.2
+K, MIN_DF, MAX_DF = 10, 2, 1.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     kind = (F.col("doc_id") % 3 + 1).cast("string")
     text = F.coalesce("text", F.lit(""))
-    return d.select(F.concat(F.lit("S"), kind, F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), F.substring(text, 1, 40).alias("business_name"), F.substring(text, 41, 120).alias("business_address"), F.col("lang").alias("country"))
+    return d.select(F.concat(F.lit("S"), kind, F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), F.substring(text, 1, 40).alias("business_name"), F.substring(text, 41, (1 << 31) - 1).alias("business_address"), F.col("lang").alias("country"))
+
+
+def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with short fields, for the features that compare strings character by character: parts by name, with brand,
+    size and price for an address and the type for a country."""
+    p = table(spark, sf_dir, "part")
+    address = F.concat_ws(" ", "p_brand", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"))
+    kind = (F.col("p_partkey") % 3 + 1).cast("string")
+    return p.select(F.concat(F.lit("S"), kind, F.lit("-"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_name").alias("business_name"), address.alias("business_address"), F.col("p_type").alias("country"))
 
 
 def side(rec: DataFrame, *prefixes: str) -> DataFrame:
@@ -64,7 +73,7 @@ def scored(rec: DataFrame) -> DataFrame:
 
 #: The same views as SQL common table expressions.
 REC = r"""rec AS (SELECT 'S' || (doc_id % 3 + 1)::VARCHAR || '-' || doc_id::VARCHAR AS entity_id, substr(coalesce(text, ''), 1, 40) AS business_name,
-  substr(coalesce(text, ''), 41, 120) AS business_address, lang AS country FROM documents),
+  substr(coalesce(text, ''), 41) AS business_address, lang AS country FROM documents),
 s1 AS (SELECT * FROM rec WHERE entity_id LIKE 'S1-%'), pool AS (SELECT * FROM rec WHERE entity_id NOT LIKE 'S1-%'),
 uni AS (SELECT entity_id AS source1_entity_id FROM s1),
 truth AS (SELECT a.e AS source1_entity_id, b.entity_id AS candidate_entity_id FROM (SELECT business_name, min(entity_id) AS e FROM s1 GROUP BY 1) a JOIN pool b USING (business_name))"""
