@@ -735,17 +735,21 @@ def _(rec):
 
 def gset(x: str) -> str:
     t = f"replace({x}, ' ', '')"
-    return f"CASE WHEN {t} = '' THEN []::VARCHAR[] WHEN length({t}) < 3 THEN [{t}] ELSE list_distinct(list_transform(range(1, greatest(length({t}) - 1, 2)), lambda i: substr({t}, i::INT, 3))) END"
+    c = f"string_split({t}, '')"
+    return f"CASE WHEN {t} = '' THEN []::VARCHAR[] WHEN length({t}) < 3 THEN [{t}] ELSE list_distinct(list_transform(list_zip({c}, {c}[2:], {c}[3:], true), lambda g: g[1] || g[2] || g[3])) END"
 
 
-FEAT = f"""fr AS (SELECT *, {SPLIT.format(x='name')} AS nt, {SPLIT.format(x='addr')} AS at, {gset('name')} AS ng, {gset('addr')} AS ag, list_distinct(regexp_extract_all(addr, '[0-9]+')) AS nums FROM (SELECT entity_id, country, {PLAIN.format(x='business_name')} AS name, {PLAIN.format(x='business_address')} AS addr FROM rec))"""
+FEAT = f"""fr AS MATERIALIZED (SELECT *, {SPLIT.format(x='name')} AS nt, {SPLIT.format(x='addr')} AS at, {gset('name')} AS ng, {gset('addr')} AS ag, list_distinct(regexp_extract_all(addr, '[0-9]+')) AS nums FROM (SELECT entity_id, country, {PLAIN.format(x='business_name')} AS name, {PLAIN.format(x='business_address')} AS addr FROM rec)),
+agx AS (SELECT entity_id AS id, unnest(ag) AS g FROM fr), atx AS (SELECT DISTINCT entity_id AS id, unnest(fr.at) AS g FROM fr),
+agm AS (SELECT source1_entity_id, candidate_entity_id, count(*) AS gm FROM cand JOIN agx a ON a.id = source1_entity_id JOIN agx b ON b.id = candidate_entity_id AND b.g = a.g GROUP BY ALL),
+atm AS (SELECT source1_entity_id, candidate_entity_id, count(*) AS tm FROM cand JOIN atx a ON a.id = source1_entity_id JOIN atx b ON b.id = candidate_entity_id AND b.g = a.g GROUP BY ALL)"""
 
 
 @query("lexical_features", sql(f"""SELECT source1_entity_id, candidate_entity_id, (a.name = '')::BIGINT AS source1_name_missing, (b.addr = '')::BIGINT AS candidate_address_missing, (a.name <> '' AND a.name = b.name)::BIGINT AS name_exact, round({JAC.format(a='list_distinct(a.nt)', b='list_distinct(b.nt)')}, 6) AS name_token_jaccard,
-round({JAC.format(a='a.ng', b='b.ng')}, 6) AS name_char_ngram_similarity, round({JAC.format(a='a.ag', b='b.ag')}, 6) AS address_char_ngram_similarity, len(list_intersect(list_distinct(a.at), list_distinct(b.at)))::BIGINT AS address_common_token_count,
+round({JAC.format(a='a.ng', b='b.ng')}, 6) AS name_char_ngram_similarity, round(coalesce(gm::DOUBLE / (len(a.ag) + len(b.ag) - gm), 0.0), 6) AS address_char_ngram_similarity, coalesce(tm, 0) AS address_common_token_count,
 round(CASE WHEN a.name = '' OR b.name = '' THEN 0.0 ELSE least(length(a.name), length(b.name))::DOUBLE / greatest(length(a.name), length(b.name)) END, 6) AS name_length_ratio, round({JAC.format(a='a.nums', b='b.nums')}, 6) AS numeric_overlap,
 (len(a.nums) > 0 AND len(b.nums) > 0)::BIGINT AS numeric_both_available, (len(a.nums) > 0 AND len(b.nums) > 0 AND list_sort(a.nums) <> list_sort(b.nums))::BIGINT AS numeric_disagreement, (a.country = b.country)::BIGINT AS country_match, (a.country <> b.country)::BIGINT AS country_disagreement,
-starts_with(candidate_entity_id, 'S2-')::BIGINT AS candidate_is_s2, starts_with(candidate_entity_id, 'S3-')::BIGINT AS candidate_is_s3 FROM cand JOIN fr a ON a.entity_id = source1_entity_id JOIN fr b ON b.entity_id = candidate_entity_id""", FEAT))
+starts_with(candidate_entity_id, 'S2-')::BIGINT AS candidate_is_s2, starts_with(candidate_entity_id, 'S3-')::BIGINT AS candidate_is_s3 FROM cand JOIN fr a ON a.entity_id = source1_entity_id JOIN fr b ON b.entity_id = candidate_entity_id LEFT JOIN agm USING (source1_entity_id, candidate_entity_id) LEFT JOIN atm USING (source1_entity_id, candidate_entity_id)""", FEAT))
 def _(rec):
     some = "source1_name_missing candidate_address_missing name_exact name_token_jaccard name_char_ngram_similarity address_char_ngram_similarity address_common_token_count name_length_ratio numeric_overlap numeric_both_available numeric_disagreement country_match country_disagreement candidate_is_s2 candidate_is_s3".split()
     return typed(pairwise_features(rec).select(*PAIR, *some))
