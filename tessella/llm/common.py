@@ -25,12 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; one is set only where none is (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors see; one is made only where none is set and all executors
+    are this machine (tests)."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", at := tempfile.mkdtemp(prefix="tessella-"))
     return at.rstrip("/")
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def write_table(df: DataFrame, name: str) -> str:
     df.write.parquet(path := f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
     return path

@@ -7,7 +7,9 @@ computes features; resolve() joins references to what was fetched, by digest, an
 
 Defined cases: null or empty HTML has an empty sequence; a reference without a sha256: digest keeps a null digest and
 resolves to nothing; a digest that the store lacks resolves to nulls; a payload that is stored more than once counts
-once. A null text is the empty payload. Columns that are not named here are not read.
+once. A caption outside a figure is text, and one that is left open ends with its figure. A null text is the empty
+payload; equal texts and repeated rows have equal payloads, and a row each; empty tables give empty results; a very long
+text is one file. Columns that are not named here are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_by
 class _Reader(HTMLParser):
     """Collects [kind, text, digest, caption] items in reading order."""
 
-    MEDIA, SILENT = {"img", "audio", "video", "source"}, {"script", "style", "noscript", "template", "head"}
+    MEDIA, SILENT = {"img", "audio", "video", "source"}, {"script", "style", "noscript", "template", "title"}
     BREAKS = {"p", "div", "li", "br", "hr", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "figcaption", "section", "article", "ul", "ol", "table", "blockquote", "pre", "body"}
 
     def __init__(self) -> None:
@@ -51,6 +53,8 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
+        if tag == "body":
+            self.silent = 0  # a title or the like that was left open ends here
         if tag in self.SILENT:
             self.silent += 1
         elif tag in self.MEDIA:
@@ -60,8 +64,9 @@ class _Reader(HTMLParser):
         elif tag in self.BREAKS:
             self.flush()
             if tag == "figure":
+                self.end_figure()
                 self.figure = len(self.items)
-            elif tag == "figcaption":
+            elif tag == "figcaption" and self.figure is not None:
                 self.caption = []
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -72,14 +77,23 @@ class _Reader(HTMLParser):
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figure or 0 :] if text else []:
-                if item[0] == "media":
-                    item[3] = text
+            self.end_caption()
         elif tag in self.BREAKS:
             self.flush()
             if tag == "figure":
-                self.figure = None
+                self.end_figure()
+
+    def end_caption(self) -> None:
+        text, self.caption = " ".join("".join(self.caption or ()).split()), None
+        for item in self.items[self.figure :] if text else []:
+            if item[0] == "media":
+                item[3] = text
+
+    def end_figure(self) -> None:
+        """A caption ends with its figure, if not before; at the end of the page, so does a figure."""
+        if self.figure is not None and self.caption is not None:
+            self.end_caption()
+        self.figure = None
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -90,6 +104,7 @@ def read_html(html: str | None) -> list[dict]:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
+    reader.end_figure()
     reader.flush()
     return [dict(zip(("position", "kind", "text", "digest", "caption"), (i, *x), strict=True)) for i, x in enumerate(reader.items)]
 

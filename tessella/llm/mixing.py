@@ -57,8 +57,10 @@ def replicate(docs: DataFrame, weights: DataFrame, budget: float | None = None,
 
     weights: (source, weight), one row a source. budget: characters of the mixture, those of docs if not given.
     """
-    plain = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "mix_key")])
-    table = rates(plain, weights, budget)
+    columns = [c for c in docs.columns if c not in ("copy", "mix_key")]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])  # apart from the names used here
+    plain = docs.select("doc_id", "source", row.alias("_row"))
+    table = rates(docs.select("source", "text"), weights, budget)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     few = table.limit(broadcast_rows + 1).count() <= broadcast_rows
     if few:
@@ -69,7 +71,7 @@ def replicate(docs: DataFrame, weights: DataFrame, budget: float | None = None,
     n = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     many = met.withColumn("_u", uniform(F.lit(str(seed)), key)).withColumn("_n", n).where("_n > 0")
     out = many.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    out = out.select(*[F.col(f"`{c}`") for c in plain.columns], F.col("copy").cast("long").alias("copy"), F.md5(F.concat_ws("|", F.lit(f"{seed}s"), key, F.col("copy").cast("string"))).alias("mix_key"))
+    out = out.select(*[F.col("_row").getField(c).alias(c) for c in columns], F.col("copy").cast("long").alias("copy"), F.md5(F.concat_ws("|", F.lit(f"{seed}s"), key, F.col("copy").cast("string"))).alias("mix_key"))
     return out.repartition("mix_key").sortWithinPartitions("mix_key")
 
 

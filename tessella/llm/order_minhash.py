@@ -16,7 +16,9 @@ aligned / (n + m - aligned) >= SIMILARITY for the two k-mer sequences. Links mak
 What can be lost are pairs that share no bucket; the README has measured shares of them by length.
 Equal texts are one node. Defined cases: a null text is empty; texts without words are alike; texts under K words are
 one k-mer; a null doc_id takes part by its text and class_id is the smallest doc_id of the class that is not null;
-repeated rows each get a row; empty tables give empty results; other columns are not read.
+repeated rows each get a row; empty tables give empty results; of the texts of a class the smallest doc_id leads, of texts
+without one the smallest fingerprint; a very long text is aligned whole, in a band that grows with its length; columns
+that first_of_classes() passes through may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, release, table
+from tessella.llm.common import cut, fresh, release, table
 from tessella.llm.components import components
 
 K, ORDER, SKETCHES, BINS, SIMILARITY, SEED = 5, 8, 60, 128, 0.8, 11
@@ -313,10 +315,11 @@ def classes(docs: DataFrame) -> DataFrame:
 def first_of_classes(docs: DataFrame) -> DataFrame:
     """The document of each class with the smallest doc_id, with all its columns; of rows that repeat it, one."""
     _, of = classed(docs)
-    lead = of.where("leads").select(F.col("fp").alias("_lead_fp"), F.coalesce(F.col("text_id").cast("string"), F.lit("")).alias("_lead_id"))
-    own = docs.select("*", fingerprint().alias("_own_fp"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_own_id"))
-    chosen = own.join(lead, (F.col("_own_fp") == F.col("_lead_fp")) & (F.col("_own_id") == F.col("_lead_id")), "left_semi")
-    return chosen.dropDuplicates(["_own_fp", "_own_id"]).select([F.col(f"`{c}`") for c in docs.columns])
+    fp, at, lead_fp, lead_at = (fresh(n, docs) for n in ("own_fp", "own_id", "lead_fp", "lead_id"))
+    lead = of.where("leads").select(F.col("fp").alias(lead_fp), F.coalesce(F.col("text_id").cast("string"), F.lit("")).alias(lead_at))
+    own = docs.select("*", fingerprint().alias(fp), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(at))
+    chosen = own.join(lead, (F.col(fp) == F.col(lead_fp)) & (F.col(at) == F.col(lead_at)), "left_semi")
+    return chosen.dropDuplicates([fp, at]).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ texts always share a verdict.
 The target may be a bounded sample of the labelled rows: TRUSTED_ROWS, those with the smallest hashes. Raw counts
 cover all documents. Counters are BUCKETS numbers whatever the input; nothing else reaches the driver.
 Defined cases: a null text is empty; texts under GRAM bytes have score 0; empty tables give empty results; with no
-trusted rows every score is 0 and the base rules alone decide; other columns are not read.
+trusted rows every score is 0 and the base rules alone decide; rows without doc_id are never trusted; repeated rows are judged
+each, and count as often as they come; a very long text is judged whole, with about 40 bytes of numbers a byte; equal texts
+have equal verdicts; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -85,14 +87,15 @@ def counters(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
-            goods = np.isin(b.column(0).to_numpy(zero_copy_only=False), trusted).tolist()
+            ids = b.column(0)
+            goods = (np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), trusted) & ids.is_valid().to_numpy(zero_copy_only=False)).tolist()
             for some in by_size(zip(goods, raws(b.column(1)), strict=True), lambda x: len(x[1]), 1 << 20):
                 for k, chosen in ((0, some), (1, [x for x in some if x[0]])):
                     if chosen:
                         total[k] += np.bincount(np.concatenate([grams(raw) for _, raw in chosen]), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total[0]), pa.array(total[1])], names=["bucket", "raw", "good"])
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(run, "bucket long, raw long, good long")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "bucket long, raw long, good long")
     got = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     out = np.zeros((2, BUCKETS))
     at = got.column("bucket").to_numpy()

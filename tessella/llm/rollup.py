@@ -101,7 +101,10 @@ class Rollup:
             fs, p = self._fs(f"{staged}/_folded={b}")
             fs.create(p, True).close()
         fs, p = self._fs(staged)
-        fs.rename(p, self._fs(f"{self.path}/base-{n:09d}")[1])
+        if not fs.rename(p, self._fs(f"{self.path}/base-{n:09d}")[1]):
+            raise OSError(f"{staged} could not be renamed; nothing was deleted")
+        if self._base() != f"{self.path}/base-{n:09d}" or not set(todo) <= self._folded():
+            raise OSError("the new base is not in place; nothing was deleted")
         for at in [*([old] if old else []), *(f"{self.path}/batch={b}" for b in todo)]:
             fs.delete(self._fs(at)[1], True)
 

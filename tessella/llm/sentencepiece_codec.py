@@ -9,7 +9,8 @@ A model that has such a piece is encoded text by text. Tests hold ids against th
 
 Defined cases: a null text is empty; an empty text has no ids; characters outside the vocabulary become byte pieces, or
 the unknown id without byte fallback; a literal marker reads back as a blank, as in the library; repeated rows each get a
-row; an empty table gives an empty result; no columns but doc_id and text are read. Pieces of type UNUSED are an error.
+row, equal texts equal ids; an empty table gives an empty result; a very long text is encoded whole, by its chunks; no
+columns but doc_id and text are read. Pieces of type UNUSED are an error.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ MARK = "▁"
 #: Fixed values of the model format: types of pieces, and kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: How many chunks a task remembers.
-CACHE = 300_000
+#: Bytes that a task remembers of chunks and their ids, about.
+CACHE = 96 << 20
 
 
 def _varint(b: bytes, at: int) -> tuple[int, int]:
@@ -95,6 +96,7 @@ class Codec:
     def __init__(self, raw: bytes):
         self.raw = raw
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def __reduce__(self):
         return Codec, (self.raw,)
@@ -151,12 +153,14 @@ class Codec:
         """int32 ids of each text."""
         split = self.chunk.findall if self.chunk else lambda x: [x] if x else []
         chunks = [split(self.normalise(t)) for t in texts]
-        if len(self.known) > CACHE:
+        if self.size > CACHE:
             self.known.clear()
+            self.size = 0
         known = self.known
         new = list({c for x in chunks for c in x if c not in known})
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[c] = np.array(e.ids, "<i4").tobytes()
+            self.size += len(c) + len(known[c]) + 200
         return [np.frombuffer(b"".join([known[c] for c in x]), "<i4") for x in chunks]
 
     @cached_property

@@ -11,8 +11,9 @@ probability by a logistic curve, fitted on labelled documents that no dictionary
 Training uses at most PER_CLASS labelled rows a class, those with the smallest hashes; every document is scored whole.
 Distances of words are remembered in a task, at most CACHE of them.
 Defined cases: a null text is empty; a text without words has distances 0 and the score the curve gives them; labels
-that are null are not used; without toxic or without ordinary training rows all scores are 0; repeated rows each get a
-row; no columns but doc_id and text are read.
+that are null are not used; equal texts have equal scores; a very long text is scored whole, window by window; an empty
+table gives an empty result; without toxic or without ordinary training rows all scores are 0; repeated rows each get a
+row; no columns but doc_id and text are read, whatever the others are called.
 """
 
 from __future__ import annotations

@@ -3,14 +3,14 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ", block string, list string, copy long, mix_key string, fp string, rows long, score string, label string"
+EXTRA = ", block string, list string, copy long, mix_key string, fp string, rows long, score string, label string, _u string, _source string, own_fp string, held_out string, _block_of_text string, packed string"
 
 
 def frame(spark, rows, extra=False):
     """documents of (doc_id, text); extra columns have names that operators use inside."""
     full = [(i, t, "en", None if i is None else f"src{(i or 0) % 3}", None if t is None else len(t)) for i, t in rows]
     if extra:
-        full = [(*r, "x", "y", 7, "k", "f", 3, "s", "l") for r in full]
+        full = [(*r, "x", "y", 7, "k", "f", 3, "s", "l", "u", "o", "p", "h", "b", "z") for r in full]
     return spark.createDataFrame(full, SCHEMA + (EXTRA if extra else ""))
 
 

@@ -25,6 +25,13 @@ def test_reading_order():
     assert M.read_html(None) == [] and [x["position"] for x in M.read_html(html)] == list(range(5))
 
 
+def test_tags_that_are_left_open():
+    got = lambda html: [(x["kind"], x["text"], x["caption"]) for x in M.read_html(html)]
+    assert got("<head><title>t</title><body><p>x<img src='sha256:a'>") == [("text", "x", None), ("media", None, None)]
+    assert got("<figure><img src='sha256:a'><figcaption>c</figure>later") == [("media", None, "c"), ("text", "later", None)]
+    assert got("<img src='sha256:a'><figcaption>loose</figcaption>z") == [("media", None, None), ("text", "loose", None), ("text", "z", None)]
+
+
 def test_resolution_keeps_position_and_caption(spark):
     docs = frame(spark, [(1, "one"), (2, "two"), (3, "one")])
     stored = M.store(docs)
