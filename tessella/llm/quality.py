@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from tessella.llm.common import by_size, table
 
@@ -136,7 +135,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """The documents that judge() keeps, with all their columns; only texts go to Python, only verdicts come back."""
+    """The documents that judge() keeps, with all their columns. Whole rows pass through Python, as an executor that sends
+    texts alone holds their rows until the verdicts are back."""
     w = docs.sparkSession.sparkContext.broadcast(weights(docs, labels, trusted_rows))
 
     def verdict(raw: bytes) -> bool:
@@ -146,11 +146,13 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trust
         g = grams(raw)
         return (float(w.value[g].sum(dtype=np.float64) / len(g)) if len(g) else 0.0) >= threshold
 
-    @F.arrow_udf(BooleanType())
-    def run(text: pa.Array) -> pa.Array:
-        return pa.array([verdict(r) for r in raws(text)], pa.bool_())
+    at = [c.lower() for c in docs.columns].index("text")
 
-    return docs.where(run(F.col("text")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([verdict(r) for r in raws(b.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
