@@ -49,12 +49,28 @@ def id_violations(df: DataFrame, column: str, prefixes: tuple[str, ...]) -> Data
 
 def score_violations(scores: DataFrame, score: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """One row: null, NaN or infinite scores, and scores outside [low, high]."""
-    c = F.col(score).cast("double")
-    odd = c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    c, odd = F.col(score).cast("double"), not_finite(score)
     out = (F.lit(False) if low is None else c < low) | (F.lit(False) if high is None else c > high)
     return scores.agg(F.count("*").alias("n_rows"), F.count_if(odd).alias("not_finite"), F.count_if(~odd & out).alias("out_of_range"))
 
 
+def not_finite(column: str) -> Column:
+    c = F.col(column).cast("double")
+    return c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+
+
+def competition_violations(features: DataFrame, pairs: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row of what competition features are made of: pairs that repeat in either table, records with several rows of
+    statistics, scores and statistics that are no finite numbers, and pairs whose record has no statistics."""
+    columns(features, PAIR), columns(pairs, [*PAIR, "score"]), columns(stats, [CAND, "best_score", "second_score", "n_s1", "best_s1"])
+    rows = [
+        repeated(features, PAIR).agg(F.count("*").alias("repeated_features")), repeated(pairs, PAIR).agg(F.count("*").alias("repeated_pairs")), repeated(stats, [CAND]).agg(F.count("*").alias("repeated_stats")),
+        pairs.agg(F.count_if(not_finite("score")).alias("bad_scores")), stats.agg(F.count_if(not_finite("best_score") | not_finite("n_s1")).alias("bad_stats")),
+        features.select(CAND).join(stats.select(CAND), CAND, "left_anti").agg(F.count("*").alias("without_stats")),
+    ]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), rows)  # one row each
+
+
 def strangers(pairs: DataFrame, universe: DataFrame) -> DataFrame:
     """S1 of pairs that the universe does not have."""
     return pairs.select(S1).distinct().join(universe.select(S1), S1, "left_anti")

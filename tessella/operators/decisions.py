@@ -6,6 +6,7 @@ Pairs are (source1_entity_id, candidate_entity_id, p, ...). Ties go to the small
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,14 +102,41 @@ def sweep(pairs: DataFrame, truth: DataFrame, universe: DataFrame, thresholds: l
     each = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(o).alias("owner")) for t, o in configs])
     passed = F.filter(each, lambda c: (F.col(p) >= c["threshold"]) & (F.col("_own") | ~c["owner"]))
     got = hit.select(S1, "_hit", F.inline(passed)).groupBy("threshold", "owner", S1).agg(F.count("*").alias("n_pred"), F.count("_hit").alias("tp"))
+    return mean_f05(got, spark.createDataFrame(configs, "threshold double, owner boolean"), truth, universe).drop("n_pairs")
+
+
+def grid(pairs: DataFrame, truth: DataFrame, universe: DataFrame, ranks: list[int], thresholds: list[float], ratios: list[float], owners: tuple[bool, ...] = (True, False)) -> DataFrame:
+    """Mean F0.5 and pairs of rule_baseline() for every (ranks, threshold, ratio, owner), in one pass over pairs (score, rank).
+
+    A pair counts once for each `ranks` it is within, as the owner among those differs; the rest is as in sweep().
+    """
+    configs = [(r, float(t), float(a), o) for r in ranks for t in thresholds for a in ratios for o in owners]
+    within = F.explode(F.array(*[F.lit(r) for r in ranks]))
+    each = pairs.where(F.col("rank") <= max(ranks)).withColumn("_r", ratio_to_first()).select(*PAIR, "score", "_r", "rank", within.alias("ranks")).where("rank <= ranks")
+    best = Window.partitionBy("ranks", CAND).orderBy(F.col("score").desc(), F.col(S1))
+    hit = each.withColumn("_own", F.row_number().over(best) == 1).join(truth.select(*PAIR, F.lit(1).alias("_hit")), PAIR, "left")
+    rules = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(a).alias("ratio"), F.lit(o).alias("owner")) for r, t, a, o in configs if r == ranks[0]])
+    passed = F.filter(rules, lambda c: (F.col("score") >= c["threshold"]) & (F.col("_r") >= c["ratio"]) & (F.col("_own") | ~c["owner"]))
+    got = hit.select(S1, "_hit", "ranks", F.inline(passed)).groupBy("ranks", "threshold", "ratio", "owner", S1).agg(F.count("*").alias("n_pred"), F.count("_hit").alias("tp"))
+    return mean_f05(got, pairs.sparkSession.createDataFrame(configs, "ranks int, threshold double, ratio double, owner boolean"), truth, universe)
+
+
+def mean_f05(got: DataFrame, configs: DataFrame, truth: DataFrame, universe: DataFrame) -> DataFrame:
+    """configs with f05, the mean over the universe, and n_pairs; got has n_pred and tp by configuration and S1."""
+    by = configs.columns
     n_true = universe.join(truth.groupBy(S1).agg(F.count("*").alias("n_true")), S1, "left").select(S1, F.coalesce("n_true", F.lit(0)).alias("n_true"))
     # S1 without predictions score 1 if they have no match, else 0: counted once, not once a configuration.
-    scored = got.join(n_true, S1).groupBy("threshold", "owner").agg(F.sum(per_entity()["f05"]).alias("f"), F.count_if(F.col("n_true") == 0).alias("z"))
+    scored = got.join(n_true, S1).groupBy(*by).agg(F.sum(per_entity()["f05"]).alias("f"), F.count_if(F.col("n_true") == 0).alias("z"), F.sum("n_pred").alias("n_pairs"))
     totals = n_true.agg(F.count("*").alias("n"), F.count_if(F.col("n_true") == 0).alias("empty"))
-    rows = spark.createDataFrame(configs, "threshold double, owner boolean")
-    out = rows.join(scored, ["threshold", "owner"], "left").join(F.broadcast(totals))  # one row
+    out = configs.join(scored, by, "left").join(F.broadcast(totals))  # one row
     f = (F.coalesce("f", F.lit(0.0)) + F.col("empty") - F.coalesce("z", F.lit(0))) / F.col("n")
-    return out.select("threshold", "owner", F.round(f, 6).alias("f05"))
+    return out.select(*by, F.round(f, 6).alias("f05"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"))
+
+
+def best_across(sweeps: dict[str, DataFrame], n: int = 10) -> DataFrame:
+    """(family, config, f05): the n best rows of several sweeps; ties by family, then by the configuration's values."""
+    each = [df.select(F.lit(k).alias("family"), F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns if c not in ("f05", "n_pairs")]).alias("config"), "f05") for k, df in sweeps.items()]
+    return best_of(reduce(DataFrame.union, each), "f05", ["family", "config"], n)
 
 
 def best_of(results: DataFrame, score: str, ties: list[Column | str], n: int = 1) -> DataFrame:

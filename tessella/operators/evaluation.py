@@ -120,6 +120,34 @@ def error_counts(universe: DataFrame, truth: DataFrame, candidates: DataFrame, p
     return pairs.join(F.broadcast(counts))  # one row each
 
 
+def error_type(score: str, threshold: float, label: str = "label") -> Column:
+    """false_positive, false_negative or '' for a pair that a threshold decides."""
+    yes = F.col(score) >= threshold
+    return F.when(yes & (F.col(label) == 0), "false_positive").when(~yes & (F.col(label) == 1), "false_negative").otherwise("")
+
+
+def error_examples(pairs: DataFrame, score: str, threshold: float, n: int = 100, label: str = "label") -> DataFrame:
+    """The n wrongly decided pairs of the largest scores (ties: smaller ids)."""
+    wrong = pairs.withColumn("error_type", error_type(score, threshold, label)).where("error_type <> ''")
+    return wrong.orderBy(F.col(score).desc(), *PAIR).limit(n)
+
+
+def part_problems(facts: DataFrame, ids: DataFrame, pairs: DataFrame, n: int, agree: list[str]) -> DataFrame:
+    """One row: what forbids merging n parts. facts has a row a part (part from 1, n_s1, n_pairs and the columns on which
+    parts must agree), ids each part's S1, pairs its pairs: parts that are missing, unknown or repeated, columns that
+    differ, parts whose S1 or pairs are not as many as its facts say, and S1 that come more than once."""
+    parts = facts.groupBy("part").agg(F.count("*").alias("_n"))
+    known = F.col("part").between(1, n)
+    shape = parts.agg((F.lit(n) - F.count_if(known)).alias("missing_parts"), F.count_if(~known).alias("unknown_parts"), F.count_if(F.col("_n") > 1).alias("repeated_parts"))
+    differ = facts.agg(sum((F.count_distinct(c) > 1).cast("long") for c in agree).alias("differing"))
+    size = lambda df, name: df.groupBy("part").agg(F.count("*").alias(name))
+    j = facts.join(size(ids, "_s1"), "part", "outer").join(size(pairs, "_pairs"), "part", "outer")
+    off = lambda have, said: ~F.coalesce(F.col(have), F.lit(0)).eqNullSafe(F.col(said))
+    sizes = j.agg(F.count_if(off("_s1", "n_s1")).alias("wrong_s1"), F.count_if(off("_pairs", "n_pairs")).alias("wrong_pairs"))
+    again = ids.groupBy(S1).agg(F.count("*").alias("_n")).where("_n > 1").agg(F.count("*").alias("repeated_s1"))
+    return shape.join(F.broadcast(differ)).join(F.broadcast(sizes)).join(F.broadcast(again))  # one row each
+
+
 def weighted_merge(parts: DataFrame, metrics: dict[str, str], by: list[str]) -> DataFrame:
     """Means of part-wise ratios, weighted by each metric's weight column."""
     return parts.groupBy(*by).agg(*[F.round(F.coalesce(F.try_divide(F.sum(F.col(m) * F.col(w)), F.sum(w)), F.lit(0.0)), 6).alias(m) for m, w in metrics.items()])

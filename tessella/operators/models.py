@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.similarity import unit
@@ -81,6 +81,22 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str], name: str
     return out.select(*df.columns, vector_to_array("probability")[1].alias(name))
 
 
+def save_fitted(model: PipelineModel, features: list[str], path: str) -> None:
+    """A fitted model with its feature schema, in a folder all executors see; one that is there is replaced."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(i, c) for i, c in enumerate(features)], "at int, feature string").coalesce(1).write.mode("overwrite").json(f"{path}/schema")
+
+
+def load_fitted(path: str, features: list[str] | None = None) -> tuple[PipelineModel, list[str]]:
+    """What save_fitted() wrote; an error if the features expected differ in name or order."""
+    rows = SparkSession.active().read.schema("at int, feature string").json(f"{path}/schema").orderBy("at").collect()  # one row a feature
+    known = [r["feature"] for r in rows]
+    if features is not None and features != known:
+        raise ContractError(f"features differ: saved {known}, expected {features}")
+    return PipelineModel.load(f"{path}/model"), known
+
+
 def averaged(df: DataFrame, columns: list[str], name: str = "p") -> DataFrame:
     """The mean of several models' probabilities beside them."""
     return df.withColumn(name, sum((F.col(c) for c in columns[1:]), F.col(columns[0])) / len(columns))

@@ -833,6 +833,71 @@ def _(rec):
     return G.channel_ablation(V.universe(rec), V.truth(rec), V.candidates(rec), {"exact": exact}, 2)
 
 
+def prefix_sql(name: str, key: str) -> str:
+    return f"{name} AS (SELECT source1_entity_id, candidate_entity_id FROM (SELECT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id, row_number() OVER (PARTITION BY a.entity_id ORDER BY b.entity_id) AS n FROM s1 a JOIN pool b ON a.country = b.country AND {key.format('a')} = {key.format('b')} AND {key.format('a')} <> '') WHERE n <= 2)"
+
+
+@query("channel_unions", sql("""SELECT channel, count(*) FILTER (WHERE missed) AS n_missed, count(*) FILTER (WHERE missed AND found) AS recovered, round((count(*) FILTER (WHERE found AND NOT known))::DOUBLE / (SELECT count(*) FROM uni), 6) AS added_per_s1
+FROM (SELECT channel, (p.source1_entity_id, p.candidate_entity_id) IN (SELECT (source1_entity_id, candidate_entity_id) FROM base) AS known, p.t AND NOT ((p.source1_entity_id, p.candidate_entity_id) IN (SELECT (source1_entity_id, candidate_entity_id) FROM base)) AS missed, f.channel_id IS NOT NULL AS found
+FROM (SELECT *, true AS t FROM truth UNION ALL (SELECT *, false FROM (SELECT source1_entity_id, candidate_entity_id FROM chan EXCEPT SELECT * FROM truth))) p CROSS JOIN (SELECT DISTINCT channel FROM chan) LEFT JOIN (SELECT DISTINCT channel AS channel_id, source1_entity_id, candidate_entity_id FROM chan) f ON f.channel_id = channel AND f.source1_entity_id = p.source1_entity_id AND f.candidate_entity_id = p.candidate_entity_id) GROUP BY 1""",
+prefix_sql("ex", "{}.business_name"), prefix_sql("pre", "substr({}.business_name, 1, 12)"),
+"base AS (SELECT source1_entity_id, candidate_entity_id FROM cand WHERE rank <= 2)",
+"chan AS (SELECT 'exact' AS channel, * FROM ex UNION ALL SELECT 'prefix', * FROM pre UNION ALL SELECT 'exact + prefix', * FROM (SELECT * FROM ex UNION SELECT * FROM pre))"))
+def _(rec):
+    each = {"exact": B.exact_candidates(s1(rec), pool(rec), F.col("business_name"), 2), "prefix": B.exact_candidates(s1(rec), pool(rec), F.substring("business_name", 1, 12), 2)}
+    out = G.channel_ablation(V.universe(rec), V.truth(rec), V.candidates(rec), each, 2, (("exact", "prefix"),))
+    return out.select("channel", "n_missed", "recovered", "added_per_s1")
+
+
+@query("competition_contract", sql("""SELECT (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY source1_entity_id, candidate_entity_id HAVING count(*) > 1)) AS repeated_features, 0 AS repeated_pairs, (SELECT count(*) FROM (SELECT 1 FROM s2 GROUP BY candidate_entity_id HAVING count(*) > 1)) AS repeated_stats,
+(SELECT count(*) FROM cand WHERE rank = 4) AS bad_scores, (SELECT count(*) FROM s2 WHERE best_score IS NULL) AS bad_stats, (SELECT count(*) FROM f WHERE candidate_entity_id NOT IN (SELECT candidate_entity_id FROM s2)) AS without_stats""", STATS,
+"f AS (SELECT source1_entity_id, candidate_entity_id FROM cand UNION ALL SELECT source1_entity_id, candidate_entity_id FROM cand WHERE rank = 1)",
+"s2 AS (SELECT candidate_entity_id, CASE WHEN n_s1 = 1 THEN NULL ELSE best_score END AS best_score FROM st WHERE best_score >= 0.2 UNION ALL SELECT candidate_entity_id, best_score FROM st WHERE n_s1 > 3)"))
+def _(rec):
+    c = V.candidates(rec)
+    st = C.record_stats(c)
+    flawed = st.where("best_score >= 0.2").withColumn("best_score", F.when(F.col("n_s1") > 1, F.col("best_score"))).unionByName(st.where("n_s1 > 3"))
+    odd = c.withColumn("score", F.when(F.col("rank") == 4, F.lit(float("nan"))).otherwise(F.col("score")))
+    return K.competition_violations(c.select(*PAIR).union(c.where("rank = 1").select(*PAIR)), odd, flawed)
+
+
+@query("error_examples", sql("SELECT source1_entity_id, candidate_entity_id, p, CASE WHEN p >= 0.3 THEN 'false_positive' ELSE 'false_negative' END AS error_type FROM scored WHERE (p >= 0.3) <> (label = 1) ORDER BY p DESC, 1, 2 LIMIT 100"))
+def _(rec):
+    return E.error_examples(V.scored(rec), "p", 0.3).select(*PAIR, "p", "error_type")
+
+
+@query("part_merge_check", sql("""SELECT 0 AS missing_parts, 1 AS unknown_parts, 0 AS repeated_parts, 1 AS differing, 1 AS wrong_s1, 2 AS wrong_pairs, count(*) AS repeated_s1 FROM s1 WHERE substr(entity_id, 4)::BIGINT % 5 = 0"""))
+def _(rec):
+    part = (F.floor(F.substring(S1, 4, 20).cast("long") / 3) % 3 + 1).cast("int")
+    pairs = V.candidates(rec).withColumn("part", part)
+    known = V.universe(rec).withColumn("part", part)
+    ids = known.union(known.where(F.substring(S1, 4, 20).cast("long") % 5 == 0).withColumn("part", F.lit(9)))  # a part too many
+    size = lambda df, n: df.groupBy("part").agg(F.count("*").alias(n))
+    facts = size(ids, "n_s1").join(size(pairs, "n_pairs"), "part", "left")
+    facts = facts.select("part", F.when(F.col("part") == 1, F.col("n_s1") + 1).otherwise(F.col("n_s1")).alias("n_s1"), F.when(F.col("part") == 2, F.col("n_pairs") + 1).otherwise(F.col("n_pairs")).alias("n_pairs"), F.lit("tfidf").alias("blocker"), (F.col("part") == 3).alias("config"))
+    return E.part_problems(facts, ids, pairs, 3, ["blocker", "config"])
+
+
+GRID = f"""gc AS (SELECT ranks::INT AS ranks, threshold::DOUBLE AS threshold, ratio::DOUBLE AS ratio, owner FROM (SELECT unnest([2, 5]) AS ranks), (SELECT unnest([0.1, 0.3, 0.5]) AS threshold), (SELECT unnest([0.0, 0.7]) AS ratio), (SELECT unnest([true, false]) AS owner)),
+gp AS (SELECT g.ranks, s.*, s.score / top.score AS r, row_number() OVER (PARTITION BY g.ranks, s.candidate_entity_id ORDER BY s.score DESC, s.source1_entity_id) = 1 AS o FROM (SELECT unnest([2, 5]) AS ranks) g JOIN scored s ON s.rank <= g.ranks JOIN (SELECT source1_entity_id, score FROM scored WHERE rank = 1) top USING (source1_entity_id)),
+gs AS (SELECT ranks, threshold, ratio, owner, round(avg({F05}), 6) AS f05, sum(n)::BIGINT AS n_pairs FROM (SELECT c.ranks, c.threshold, c.ratio, c.owner, u.source1_entity_id, max(coalesce(nt.t, 0)) AS t, count(p.candidate_entity_id) AS n, coalesce(sum(p.label), 0) AS tp
+FROM gc c CROSS JOIN uni u LEFT JOIN (SELECT source1_entity_id, count(*) AS t FROM truth GROUP BY 1) nt USING (source1_entity_id) LEFT JOIN gp p ON p.ranks = c.ranks AND p.source1_entity_id = u.source1_entity_id AND p.score >= c.threshold AND p.r >= c.ratio AND (p.o OR NOT c.owner) GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4)"""
+
+
+def gridded(rec: DataFrame) -> DataFrame:
+    return D.grid(V.candidates(rec), V.truth(rec), V.universe(rec), [2, 5], [0.1, 0.3, 0.5], [0.0, 0.7])
+
+
+@query("rule_grid", sql("SELECT * FROM gs", GRID))
+def _(rec):
+    return gridded(rec)
+
+
+@query("best_across", sql("""SELECT * FROM (SELECT 'grid' AS family, concat_ws(' ', ranks, threshold, ratio, owner) AS config, f05 FROM gs UNION ALL SELECT 'sweep', concat_ws(' ', threshold, owner), f05 FROM sw) ORDER BY f05 DESC, family, config LIMIT 10""", OWN, SWEEP, GRID))
+def _(rec):
+    return D.best_across({"sweep": swept(rec), "grid": gridded(rec)})
+
+
 @raw("user_event_owners", """WITH e AS (SELECT 'S1-' || user_id AS source1_entity_id, 'S2-' || (event_id % 997) AS candidate_entity_id, round(abs(value) / (1 + abs(value)), 6) AS p FROM events),
 g AS (SELECT source1_entity_id, candidate_entity_id, max(p) AS p FROM e GROUP BY 1, 2) SELECT source1_entity_id, candidate_entity_id, p FROM (SELECT *, row_number() OVER (PARTITION BY candidate_entity_id ORDER BY p DESC, source1_entity_id) AS n FROM g) WHERE n = 1""")
 def _(spark, sf_dir):

@@ -242,3 +242,17 @@ def test_models(spark):
     with pytest.raises(K.ContractError):
         M.fit_logistic(df.where("label = 1"), ["a"])
     assert M.averaged(df, ["a", "b"]).where("abs(p - (a + b) / 2) > 1e-12").count() == 0
+
+
+def test_fitted_models_are_saved_with_their_features(spark, tmp_path):
+    rows = [(f"S1-{i}", f"S2-{i}", i / 40, (i * 7 % 40) / 40, int(i >= 20)) for i in range(40)]
+    df = spark.createDataFrame(rows, "source1_entity_id string, candidate_entity_id string, a double, b double, label int")
+    model = M.fit_logistic(df, ["a", "b"])
+    for _ in range(2):
+        M.save_fitted(model, ["a", "b"], str(tmp_path / "fitted"))
+    again, features = M.load_fitted(str(tmp_path / "fitted"), ["a", "b"])
+    assert features == ["a", "b"]
+    p = lambda m: [r["p"] for r in M.predict(m, df, features).orderBy("a").collect()]
+    assert p(again) == p(model)
+    with pytest.raises(ContractError):
+        M.load_fitted(str(tmp_path / "fitted"), ["b", "a"])
