@@ -2,6 +2,7 @@ import sentencepiece
 from conftest_llm import frame
 
 import corpus_pipeline as P
+from tessella.llm import quality as Q
 from tessella.llm import sentencepiece_codec as C
 
 
@@ -15,6 +16,9 @@ def test_stages(spark, docs, rows, empty, tmp_path):
     for name, f in P.STAGES[:-1]:
         step = f(spark, step, str(tmp_path / "full")).persist()
         assert step.columns == docs.columns
+        if name == "quality_rules":
+            judged = Q.judge(docs, spark.read.parquet(str(tmp_path / "full" / "labels.parquet"))).where("kept").collect()
+            assert sorted(str(r["doc_id"]) for r in step.collect()) == sorted(str(r["doc_id"]) for r in judged)
         if name != "mix_sources":
             assert step.count() <= before
             before = step.count()
