@@ -45,7 +45,8 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: No SQL expresses the likelihood ratio, the sketches or the model's merges; tests hold run() against brute force.
+#: No SQL expresses the likelihood ratio, the sketches or the model's merges. Tests hold the first stage against judge()'s
+#: verdicts and the last against the library; the stages between are held against brute force as operators.
 ORACLE_SQL = None
 
 
