@@ -6,6 +6,7 @@ Records have entity_id, country and the columns named in each call. Candidates a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import Protocol
 
@@ -14,15 +15,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import text as T
+
 PAIR = ["source1_entity_id", "candidate_entity_id"]
 
 
+class Index(Protocol):
+    """A built index side, which any number of query sides may ask."""
+
+    def candidates(self, queries: DataFrame, k: int) -> DataFrame: ...
+
+
 class Blocker(Protocol):
     """What a candidate source has: an index side, and candidates for a query side."""
 
+    def build_index(self, index: DataFrame) -> Index: ...
+
     def candidates(self, queries: DataFrame, index: DataFrame, k: int) -> DataFrame: ...
 
 
+BLOCKERS: dict[str, Callable[..., Blocker]] = {}
+
+
+def register(name: str, make: Callable[..., Blocker]) -> None:
+    """Give a blocker a name; a name that is taken is an error."""
+    if name in BLOCKERS:
+        raise ValueError(f"there is a blocker {name} already")
+    BLOCKERS[name] = make
+
+
+def named_blocker(name: str, fields: list[str], **more) -> Blocker:
+    """The blocker of a name over text columns; more arguments replace the name's own."""
+    if name not in BLOCKERS:
+        raise KeyError(f"no blocker {name}; there are {sorted(BLOCKERS)}")
+    return BLOCKERS[name](fields, **more)
+
+
 def top_k(scored: DataFrame, k: int, by: str = "source1_entity_id", other: str = "candidate_entity_id") -> DataFrame:
     """The k best of each `by`, ranked from 1; Spark cuts to k in every task before it shuffles."""
     w = Window.partitionBy(by).orderBy(F.col("score").desc(), F.col(other))
@@ -154,19 +182,51 @@ class TfidfBlocker:
     def __init__(self, tokens: Column, min_df: int = 1, max_df: float = 1.0, open_set: bool = False):
         self.tokens, self.min_df, self.max_df, self.open_set = tokens, min_df, max_df, open_set
 
+    def build_index(self, index: DataFrame) -> TfidfIndex:
+        return TfidfIndex(self, index)
+
     def candidates(self, queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-        post = postings(index, self.tokens)
-        table = idf(post, self.min_df, self.max_df)
-        own = table.select("country", "term", "idf")
+        return self.build_index(index).candidates(queries, k)
+
+
+def _product() -> Column:
+    return (F.col("tf") * F.col("idf")).alias("x")
+
+
+class TfidfIndex:
+    """Postings, weights and vectors of an index side. They are plans: write them as tables to ask them many times."""
+
+    def __init__(self, blocker: TfidfBlocker, index: DataFrame):
+        self.tokens, self.open_set = blocker.tokens, blocker.open_set
+        self.postings = postings(index, self.tokens)
+        self.idf = idf(self.postings, blocker.min_df, blocker.max_df).select("country", "term", "idf")
+        self.vectors = vectors(self.postings.join(self.idf, ["country", "term"]).select("id", "country", "term", _product()))
+
+    def candidates(self, queries: DataFrame, k: int) -> DataFrame:
         asked = postings(queries, self.tokens)
-        x = (F.col("tf") * F.col("idf")).alias("x")
-        wanted = asked.join(own, ["country", "term"]).select("id", "country", "term", x)
+        wanted = asked.join(self.idf, ["country", "term"]).select("id", "country", "term", _product())
         if self.open_set:
-            known = post.select("country").distinct()
+            known = self.postings.select("country").distinct()
             far = asked.join(known, "country", "left_anti").drop("country")
-            wanted = wanted.unionByName(far.join(own, "term").select("id", "country", "term", x))
-        held = post.join(own, ["country", "term"]).select("id", "country", "term", x)
-        return top_k(best_pairs(vectors(wanted), vectors(held), k), k)
+            wanted = wanted.unionByName(far.join(self.idf, "term").select("id", "country", "term", _product()))
+        return top_k(best_pairs(vectors(wanted), self.vectors, k), k)
+
+
+def _joined(fields: list[str]) -> Column:
+    return F.concat_ws(" ", *[F.coalesce(f, F.lit("")) for f in fields])
+
+
+def _character_blocker(fields: list[str], low: int = 3, high: int = 5, min_df: int = 2, **more) -> TfidfBlocker:
+    return TfidfBlocker(T.padded_grams(T.plain_key(_joined(fields)), low, high), min_df, **more)
+
+
+def _word_blocker(fields: list[str], min_df: int = 2, **more) -> TfidfBlocker:
+    return TfidfBlocker(T.word_tokens(_joined(fields)), min_df, **more)
+
+
+register("d2", _character_blocker)  # padded character 3- to 5-grams
+register("word", _word_blocker)
+register("word_maxdf02", lambda fields, **more: _word_blocker(fields, **({"max_df": 0.02} | more)))
 
 
 def reverse(blocker: Blocker, s1: DataFrame, pool: DataFrame, k: int) -> DataFrame:

@@ -59,14 +59,16 @@ def margin_rule(pairs: DataFrame, sure: float, likely: float, gap: float, p: str
     return m.where((F.col(p) >= sure) | ((F.col(p) >= likely) & F.col("is_prob_owner") & (F.col("prob_margin") >= gap))).select(pairs.columns)
 
 
-def expected_f05(pairs: DataFrame, bias: float = 0.0, q: str = "q") -> DataFrame:
-    """Of each S1 the first k candidates by q, where k has the largest expected F0.5 (the smallest such k), if that
-    exceeds the chance that the S1 has no match at all; candidates of q 0 never."""
-    order = Window.partitionBy(S1).orderBy(F.col(q).desc(), F.col(CAND))
-    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(S1)
+def expected_f05(pairs: DataFrame, bias: float | Column = 0.0, q: str = "q", by: tuple[str, ...] = ()) -> DataFrame:
+    """Of each S1 (and each value of the columns `by`) the first k candidates by q, where k has the largest expected F0.5
+    (the smallest such k), if that exceeds the chance that the S1 has no match at all; candidates of q 0 never."""
+    bias = bias if isinstance(bias, Column) else F.lit(bias)
+    whole = Window.partitionBy(*by, S1)
+    order = whole.orderBy(F.col(q).desc(), F.col(CAND))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     k, tp, total = F.row_number().over(order), F.sum(q).over(upto), F.sum(q).over(whole)
     none = F.exp(F.sum(F.log1p(-F.least(F.col(q), F.lit(1 - 1e-6)))).over(whole))
-    x = pairs.withColumns({"_k": k, "_f": F.round(F.lit(1.25) * tp / (F.lit(0.25) * total + k + F.lit(bias)), 9), "_none": F.round(none, 9)})
+    x = pairs.withColumns({"_k": k, "_f": F.round(F.lit(1.25) * tp / (F.lit(0.25) * total + k + bias), 9), "_none": F.round(none, 9)})
     x = x.withColumn("_best", F.max("_f").over(whole))
     x = x.withColumn("_at", F.min(F.when(F.col("_f") == F.col("_best"), F.col("_k"))).over(whole))
     return x.where((F.col("_best") > F.col("_none")) & (F.col("_k") <= F.col("_at")) & (F.col(q) > 0)).drop("_k", "_f", "_none", "_best", "_at")
@@ -121,6 +123,19 @@ def grid(pairs: DataFrame, truth: DataFrame, universe: DataFrame, ranks: list[in
     return mean_f05(got, pairs.sparkSession.createDataFrame(configs, "ranks int, threshold double, ratio double, owner boolean"), truth, universe)
 
 
+def bias_sweep(pairs: DataFrame, truth: DataFrame, universe: DataFrame, biases: list[float], owners: tuple[bool, ...] = (True, False), p: str = "p") -> DataFrame:
+    """Mean F0.5 and pairs of expected_f05() for every (bias, owner), in one pass: a pair stands once for each configuration,
+    as the prefix that is kept differs."""
+    configs = [(float(b), o) for o in owners for b in biases]
+    each = F.array(*[F.struct(F.lit(b).alias("bias"), F.lit(o).alias("owner")) for b, o in configs])
+    q = F.when(F.col("_own") | ~F.col("owner"), F.col(p)).otherwise(F.lit(0.0))
+    owned = pairs.withColumn("_own", is_owner(p)).select(*PAIR, p, "_own", F.inline(each)).withColumn("q", q)
+    kept = expected_f05(owned, F.col("bias"), "q", ("bias", "owner"))
+    hit = kept.join(truth.select(*PAIR, F.lit(1).alias("_hit")), PAIR, "left")
+    got = hit.groupBy("bias", "owner", S1).agg(F.count("*").alias("n_pred"), F.count("_hit").alias("tp"))
+    return mean_f05(got, pairs.sparkSession.createDataFrame(configs, "bias double, owner boolean"), truth, universe)
+
+
 def mean_f05(got: DataFrame, configs: DataFrame, truth: DataFrame, universe: DataFrame) -> DataFrame:
     """configs with f05, the mean over the universe, and n_pairs; got has n_pred and tp by configuration and S1."""
     by = configs.columns

@@ -3,17 +3,49 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import similarity as S
 from tessella.functions import text as T
+from tessella.operators import competition as C
 from tessella.operators.blocking import PAIR
 from tessella.operators.contracts import ContractError
 
 S1, CAND = PAIR
 
+#: Fixed names: the second stage's columns by where they come from.
+CONTEXT = ["p", "score", "rank", "rec_n", "rec_sum", "rec_rank", "rec_other", "p_minus_other", "s1_n", "s1_n05", "s1_sum", "s1_max", "s1_rank", "p_over_s1max"]
+SIBLING_KEYS = ["n1", "nn", "na", "nums"]
+KEPT = ["n_tset", "n_ratio", "a_tset", "num_cov_a", "num_cov_b", "dig_ratio", "n1_in_b", "b_alen", "c_is_best", "c_margin"]
+SECOND_STAGE = CONTEXT + [f"{k}_{x}" for k in SIBLING_KEYS for x in ("sup", "cnt", "share", "eq_s1")] + KEPT
+
+
+class RecordAdapter(Protocol):
+    """Where the records of pairs come from: joined() puts structs a (of the S1) and b (of the candidate) beside them."""
+
+    def joined(self, pairs: DataFrame) -> DataFrame: ...
+
+
+class Records:
+    """Records of a table with entity_id. A pair without a record is an error when its row is made, or left out if `strict`
+    is not set."""
+
+    def __init__(self, records: DataFrame, strict: bool = True):
+        self.records, self.strict = records, strict
+
+    def joined(self, pairs: DataFrame) -> DataFrame:
+        rec = self.records.select("entity_id", F.struct(*[c for c in self.records.columns if c != "entity_id"]).alias("r"))
+        out = pairs
+        for side, key in (("a", S1), ("b", CAND)):
+            out = out.join(rec.withColumnsRenamed({"entity_id": key, "r": side}), key, "left" if self.strict else "inner")
+            if self.strict:
+                lost = F.raise_error(F.concat(F.lit("no record of "), F.coalesce(key, F.lit("null"))))
+                out = out.withColumn(side, F.coalesce(side, lost))
+        return out
+
 
 @dataclass(frozen=True)
 class FeatureConfig:
@@ -36,11 +68,8 @@ def represent(records: DataFrame, normal=T.plain_key, gram: int = 3) -> DataFram
 
 
 def sides(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """pairs with structs a (of the S1) and b (of the candidate); pairs whose records are missing are left out."""
-    rec = records.select(F.col("entity_id"), F.struct(*[c for c in records.columns if c != "entity_id"]).alias("r"))
-    a = rec.withColumnsRenamed({"entity_id": S1, "r": "a"})
-    b = rec.withColumnsRenamed({"entity_id": CAND, "r": "b"})
-    return pairs.join(a, S1).join(b, CAND)
+    """pairs with structs a (of the S1) and b (of the candidate); a pair without a record is an error."""
+    return Records(records).joined(pairs)
 
 
 def spread(pairs: DataFrame) -> DataFrame:
@@ -143,6 +172,13 @@ def simple(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
     return j.select(*PAIR, flag(n[0] == n[1]).alias("name_exact"), flag(m[0] == m[1]).alias("address_exact"), S.jaro_winkler(*n).alias("name_jw"), S.jaro_winkler(*m).alias("address_jw"), S.token_set_ratio(*n).alias("name_token_set"))
 
 
+def second_stage(pairs: DataFrame, keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """pairs (score, rank, p and others) with the columns of SECOND_STAGE: how p compares within record and S1, what the
+    S1's other candidates agree on by keys(), and KEPT of rich(). Kept columns of a pair that kept lacks are null."""
+    near = C.siblings(pairs.select(*PAIR, "p"), keyed.select("entity_id", *SIBLING_KEYS), SIBLING_KEYS).drop("p")
+    return C.record_context(pairs).join(near, PAIR).join(kept.select(*PAIR, *KEPT), PAIR, "left")
+
+
 def require_schema(df: DataFrame, columns: list[str]) -> DataFrame:
     """df if it has just these feature columns, in this order, behind the pair."""
     if (have := [c for c in df.columns if c not in PAIR]) != columns:

@@ -728,11 +728,6 @@ def pairwise_features(rec: DataFrame) -> DataFrame:
     return X.pairwise(V.candidates(rec), X.represent(rec))
 
 
-@query("pair_features", None)
-def _(rec):
-    return typed(pairwise_features(rec))
-
-
 def gset(x: str) -> str:
     t = f"replace({x}, ' ', '')"
     c = f"string_split({t}, '')"
@@ -779,6 +774,34 @@ def _(spark, sf_dir):
     return typed(X.simple(V.candidates(rec), X.keys(rec)))
 
 
+def american(rec: DataFrame) -> DataFrame:
+    """English records as those of a country whose postal codes are known."""
+    return rec.withColumn("country", F.when(F.col("country") == "en", "US").otherwise(F.col("country")))
+
+
+FEAT_US = rf"""fu AS MATERIALIZED (SELECT f.*, r.business_address AS raw, CASE WHEN f.country = 'en' THEN 'US' ELSE f.country END AS nation, CASE WHEN f.country = 'en' THEN list_distinct(regexp_extract_all(r.business_address, '[0-9]{{5}}(?:-[0-9]{{4}})?')) ELSE []::VARCHAR[] END AS postal,
+CASE WHEN len(p) >= 3 AND length(p[-1]) IN (2, 3) AND NOT contains(p[-1], ' ') THEN list_distinct({SPLIT.format(x='p[-2]')}) ELSE []::VARCHAR[] END AS place, regexp_matches(name, '\p{{Latin}}') AS latin, regexp_matches(name, '\p{{Devanagari}}') AS devanagari, len(regexp_extract_all(name, '\p{{L}}')) > len(regexp_extract_all(name, '[\p{{Latin}}\p{{Devanagari}}]')) AS other
+FROM fr f JOIN (SELECT *, {PARTS.replace(" || ', Some Town, ny'", '')} AS p FROM rec) r USING (entity_id))"""
+SCRIPT_SQL = ", ".join(f"a.{k}::BIGINT AS source1_name_has_{k}, b.{k}::BIGINT AS candidate_name_has_{k}, (a.{k} AND b.{k})::BIGINT AS name_{k}_script_match" for k in ("latin", "devanagari", "other"))
+#: DuckDB compares strings byte by byte here, so small Latin-1 letters, the only others in these names, become one byte each.
+BYTEWISE = "translate({0}, '" + "".join(map(chr, range(0xDF, 0x100))) + "', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$&*+@')"
+BOTH_PLACES, BOTH_POSTAL = "(a.postal <> [] AND b.postal <> [] AND a.nation = b.nation)", "len(list_intersect(a.postal, b.postal)) > 0"
+RATIO_SQL = "round(CASE WHEN a.{0} = '' OR b.{0} = '' THEN 0.0 ELSE least(length(a.{0}), length(b.{0}))::DOUBLE / greatest(length(a.{0}), length(b.{0})) END, 6)"
+
+
+@query("pair_features", sql(f"""SELECT source1_entity_id, candidate_entity_id, (a.name = '')::BIGINT AS source1_name_missing, (b.name = '')::BIGINT AS candidate_name_missing, (a.addr = '')::BIGINT AS source1_address_missing, (b.addr = '')::BIGINT AS candidate_address_missing,
+(a.name <> '' AND a.name = b.name)::BIGINT AS name_exact, round(jw, 6) AS name_jaro_winkler, lev::BIGINT AS name_levenshtein_distance, round(CASE WHEN a.name = '' OR b.name = '' THEN 0.0 ELSE 1 - lev::DOUBLE / greatest(length(a.name), length(b.name)) END, 6) AS name_levenshtein_similarity,
+round({JAC.format(a='list_distinct(a.nt)', b='list_distinct(b.nt)')}, 6) AS name_token_jaccard, len(list_intersect(list_distinct(a.nt), list_distinct(b.nt)))::BIGINT AS name_common_token_count, round({JAC.format(a='a.ng', b='b.ng')}, 6) AS name_char_ngram_similarity, {RATIO_SQL.format('name')} AS name_length_ratio,
+(a.addr <> '' AND a.addr = b.addr)::BIGINT AS address_exact, round(coalesce(tm::DOUBLE / (len(list_distinct(a.at)) + len(list_distinct(b.at)) - tm), 0.0), 6) AS address_token_jaccard, coalesce(tm, 0) AS address_common_token_count, round(ags, 6) AS address_char_ngram_similarity, {RATIO_SQL.format('addr')} AS address_length_ratio,
+round({JAC.format(a='a.nums', b='b.nums')}, 6) AS numeric_overlap, (len(a.nums) > 0 AND len(b.nums) > 0 AND list_sort(a.nums) <> list_sort(b.nums))::BIGINT AS numeric_disagreement, (len(a.nums) > 0 AND len(b.nums) > 0)::BIGINT AS numeric_both_available,
+{BOTH_PLACES}::BIGINT AS postal_evidence_available, ({BOTH_PLACES} AND {BOTH_POSTAL})::BIGINT AS postal_match, ({BOTH_PLACES} AND NOT {BOTH_POSTAL})::BIGINT AS postal_disagreement, (a.place <> [] AND b.place <> [])::BIGINT AS locality_evidence_available, round({JAC.format(a='a.place', b='b.place')}, 6) AS locality_token_jaccard,
+(a.nation <> '' AND b.nation <> '' AND a.nation = b.nation)::BIGINT AS country_match, (a.nation <> '' AND b.nation <> '' AND a.nation <> b.nation)::BIGINT AS country_disagreement, starts_with(candidate_entity_id, 'S2-')::BIGINT AS candidate_is_s2, starts_with(candidate_entity_id, 'S3-')::BIGINT AS candidate_is_s3,
+(a.name <> '' AND b.name <> '' AND a.addr <> '' AND b.addr <> '')::BIGINT AS both_name_address_available, round((jw + ags) / (1 + (a.addr <> '' AND b.addr <> '')::INT), 6) AS name_address_mean_lexical, (a.name <> '' AND a.name = b.name AND a.addr <> '' AND a.addr = b.addr)::BIGINT AS both_exact_name_address, {SCRIPT_SQL}
+FROM (SELECT source1_entity_id, candidate_entity_id, a, b, tm, coalesce(gm::DOUBLE / (len(a.ag) + len(b.ag) - gm), 0.0) AS ags, CASE WHEN a.name = '' OR b.name = '' THEN 0.0 ELSE jaro_winkler_similarity({BYTEWISE.format('a.name')}, {BYTEWISE.format('b.name')}) END AS jw, levenshtein({BYTEWISE.format('a.name')}, {BYTEWISE.format('b.name')}) AS lev FROM cand JOIN fu a ON a.entity_id = source1_entity_id JOIN fu b ON b.entity_id = candidate_entity_id LEFT JOIN agm USING (source1_entity_id, candidate_entity_id) LEFT JOIN atm USING (source1_entity_id, candidate_entity_id))""", FEAT, FEAT_US))
+def _(rec):
+    return typed(pairwise_features(american(rec)))
+
+
 SMALL = ["score", "rank", "best_score", "second_score", "n_s1", "is_best_s1", "margin_to_best", "owner_gap"]
 
 
@@ -802,14 +825,26 @@ def _(rec):
     return M.predict(M.fit_boosted(t.join(val, S1, "left_anti"), SMALL), t.drop("p"), SMALL).select(*PAIR, "p")
 
 
-@query("second_stage")
-def _(rec):
-    t = training(rec)
+def stage_two(rec: DataFrame, pairs: DataFrame) -> DataFrame:
+    keyed = X.keys(rec)
+    rich = X.rich(pairs.select(*PAIR, "score", "rank"), keyed, None, C.record_stats(pairs))
+    return X.second_stage(pairs, keyed, rich)
+
+
+@raw("second_stage")
+def _(spark, sf_dir):
+    rec = V.part_records(spark, sf_dir)
+    t = I.kept(training(rec), "training")
     sample, val = P.first_by_hash(V.universe(rec), 60), P.split(V.universe(rec)).where("is_val")
     first = M.fit_logistic(t.join(sample, S1, "left_semi"), SMALL)
-    c = C.record_context(M.predict(first, t.drop("p"), SMALL))
-    features = ["p", "score", "rank", "rec_n", "rec_sum", "rec_rank", "rec_other", "p_minus_other", "s1_n", "s1_n05", "s1_sum", "s1_max", "s1_rank", "p_over_s1max"]
-    return M.predict(M.second_stage(c, features, sample, val), c, features, "p2").select(*PAIR, "p", "p2")
+    c = I.kept(stage_two(rec, M.predict(first, t.drop("p"), SMALL).select(*PAIR, "score", "rank", "label", "p")), "stage-two")
+    return M.predict(M.second_stage(c, X.SECOND_STAGE, sample, val), c, X.SECOND_STAGE, "p2").select(*PAIR, "p", "p2")
+
+
+@raw("second_stage_features")
+def _(spark, sf_dir):
+    rec = V.part_records(spark, sf_dir)
+    return typed(stage_two(rec, V.scored(rec)).select(*PAIR, *X.SECOND_STAGE))
 
 
 # --- Diagnostics and streams -----------------------------------------------------------------------------------------
@@ -898,6 +933,97 @@ def _(rec):
     return D.best_across({"sweep": swept(rec), "grid": gridded(rec)})
 
 
+EFO_BIASES = [-0.4, 0.0, 0.4, 0.8]
+
+
+def biased_sql() -> str:
+    kept = " UNION ALL ".join(f"SELECT {b}::DOUBLE AS bias, {str(o).lower()} AS owner, * FROM ({efo_sql(f'(SELECT source1_entity_id, candidate_entity_id, {q} AS q FROM own)', b)})" for b in EFO_BIASES for o, q in ((True, "CASE WHEN o THEN p ELSE 0.0 END"), (False, "p")))
+    return f"""bc AS (SELECT bias::DOUBLE AS bias, owner FROM (SELECT unnest({EFO_BIASES}) AS bias), (SELECT unnest([true, false]) AS owner)), bk AS MATERIALIZED ({kept}),
+bs AS (SELECT bias, owner, round(avg({F05}), 6) AS f05, sum(n)::BIGINT AS n_pairs FROM (SELECT c.bias, c.owner, u.source1_entity_id, max(coalesce(nt.t, 0)) AS t, count(k.candidate_entity_id) AS n, coalesce(sum(l.label), 0) AS tp FROM bc c CROSS JOIN uni u LEFT JOIN (SELECT source1_entity_id, count(*) AS t FROM truth GROUP BY 1) nt USING (source1_entity_id)
+LEFT JOIN bk k ON k.bias = c.bias AND k.owner = c.owner AND k.source1_entity_id = u.source1_entity_id LEFT JOIN scored l ON l.source1_entity_id = k.source1_entity_id AND l.candidate_entity_id = k.candidate_entity_id GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@query("bias_sweep", sql("SELECT * FROM bs", OWN, biased_sql()))
+def _(rec):
+    return D.bias_sweep(V.scored(rec), V.truth(rec), V.universe(rec), EFO_BIASES)
+
+
+@query("named_blockers", sql("SELECT 'word' AS blocker, source1_entity_id, candidate_entity_id, score, rank FROM cand UNION ALL SELECT 'word_maxdf02', source1_entity_id, candidate_entity_id, score, rank FROM rare", V.topk_sql(out="rare", max_df=0.02)))
+def _(rec):
+    fields = ["business_name", "business_address"]
+    each = [B.named_blocker(n, fields).build_index(pool(rec)).candidates(s1(rec), V.K).withColumn("blocker", F.lit(n)) for n in ("word", "word_maxdf02")]
+    return typed(each[0].unionByName(each[1]))
+
+
+# --- Files: written to the shared folder and read back ---------------------------------------------------------------
+
+FLAT = r"regexp_replace({x}, '[\t\r\n]', ' ', 'g')"
+
+
+def flat(rec: DataFrame) -> DataFrame:
+    """Records without tabs and line ends, which a raw TSV can not hold."""
+    return rec.select("entity_id", *[F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\r\n]", " ").alias(c) for c in I.SOURCE_COLUMNS[1:]])
+
+
+def ordered(rec: DataFrame) -> DataFrame:
+    """The universe with its ordinal, by the number in the id."""
+    ids = V.universe(rec).withColumn("_at", F.substring(S1, 4, 30).cast("long"))
+    return P.numbered(ids, "_at").drop("_at")
+
+
+@query("raw_tsv", sql(f"SELECT entity_id, {FLAT.format(x='business_name')} AS business_name, {FLAT.format(x='business_address')} AS business_address, coalesce(country, '') AS country FROM rec"))
+def _(rec):
+    I.write_tsv(flat(rec), at := I.scratch(rec.sparkSession, "tsv"))
+    return I.read_tsv(rec.sparkSession, at)
+
+
+@query("tsv_as_parquet", sql(f"SELECT entity_id, {FLAT.format(x='business_name')} AS business_name FROM rec"))
+def _(rec):
+    spark = rec.sparkSession
+    I.write_tsv(flat(rec), at := I.scratch(spark, "tsv"))
+    for _ in range(2):  # the second time finds the table
+        out = I.convert(spark, at, f"{at}.parquet")
+    return I.load_source(out, ["entity_id", "business_name"])
+
+
+@query("truth_file", sql("SELECT u.source1_entity_id, candidate_entity_id FROM uni u LEFT JOIN truth USING (source1_entity_id)"))
+def _(rec):
+    spark = rec.sparkSession
+    I.write_lists(ordered(rec), V.truth(rec), at := I.scratch(spark, "truth"))
+    universe, pairs = I.read_truth(spark, at)
+    return universe.join(pairs, S1, "left")
+
+
+@query("id_file", sql("SELECT entity_id AS source1_entity_id, row_number() OVER (ORDER BY substr(entity_id, 4)::BIGINT) - 1 AS ordinal FROM s1"))
+def _(rec):
+    I.write_tsv(ordered(rec).orderBy("ordinal").select(S1), at := I.scratch(rec.sparkSession, "ids"))
+    return typed(I.read_ids(rec.sparkSession, at))
+
+
+@query("complete_groups", sql("SELECT source1_entity_id, candidate_entity_id FROM cand WHERE source1_entity_id IN (SELECT source1_entity_id FROM truth)"))
+def _(rec):
+    return I.whole_groups(V.candidates(rec), V.truth(rec), 1 << 62).select(*PAIR)
+
+
+@query("covered_records", sql("SELECT entity_id, country FROM s1"))
+def _(rec):
+    return I.covered_once(rec, V.universe(rec))
+
+
+@query("score_parts", sql("SELECT batch::BIGINT AS batch, source1_entity_id, candidate_entity_id, p FROM (SELECT *, substr(source1_entity_id, 4)::BIGINT % 2 AS batch FROM scored) WHERE rank <= 4"))
+def _(rec):
+    scores, at = V.scored(rec), I.scratch(rec.sparkSession, "scores")
+    half = F.substring(S1, 4, 30).cast("long") % 2
+    for b in (0, 1, 0):  # a batch that comes again is left as it is
+        I.write_scores(scores.where(half == b), at, str(b))
+    return typed(I.read_scores(rec.sparkSession, at, 4).select("batch", *PAIR, "p"))
+
+
+@query("ids_digest", sql("SELECT sha256(n::VARCHAR || '|' || a::VARCHAR || '|' || b::VARCHAR) AS digest FROM (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 12))::BIGINT) AS a, sum(('0x' || substr(h, 13, 12))::BIGINT) AS b FROM (SELECT DISTINCT source1_entity_id, sha256(source1_entity_id) AS h FROM uni))"))
+def _(rec):
+    return rec.sparkSession.createDataFrame([(I.ids_hash(V.universe(rec)),)], "digest string")
+
+
 @raw("user_event_owners", """WITH e AS (SELECT 'S1-' || user_id AS source1_entity_id, 'S2-' || (event_id % 997) AS candidate_entity_id, round(abs(value) / (1 + abs(value)), 6) AS p FROM events),
 g AS (SELECT source1_entity_id, candidate_entity_id, max(p) AS p FROM e GROUP BY 1, 2) SELECT source1_entity_id, candidate_entity_id, p FROM (SELECT *, row_number() OVER (PARTITION BY candidate_entity_id ORDER BY p DESC, source1_entity_id) AS n FROM g) WHERE n = 1""")
 def _(spark, sf_dir):

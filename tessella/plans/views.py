@@ -83,10 +83,10 @@ def postings_sql(name: str, source: str) -> str:
     return rf"""{name} AS (SELECT id, country, term, count(*) AS tf FROM (SELECT entity_id AS id, country, unnest(regexp_extract_all(lower(business_name || ' ' || business_address), '[\p{{L}}\p{{N}}\p{{M}}_]{{2,}}')) AS term FROM {source}) GROUP BY ALL)"""
 
 
-def topk_sql(q: str = "s1", c: str = "pool", out: str = "cand", k: int = K) -> str:
+def topk_sql(q: str = "s1", c: str = "pool", out: str = "cand", k: int = K, max_df: float = MAX_DF) -> str:
     """CTEs that end in `out` (source1_entity_id, candidate_entity_id, score, rank), with q asking and c the index."""
     return f"""{postings_sql(out + '_q', q)}, {postings_sql(out + '_c', c)},
-{out}_idf AS (SELECT country, term, df, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM (SELECT country, term, count(*) AS df FROM {out}_c GROUP BY ALL) JOIN (SELECT country, count(DISTINCT id) AS n FROM {out}_c GROUP BY ALL) USING (country) WHERE df >= {MIN_DF} AND df <= {MAX_DF}::DOUBLE * n),
+{out}_idf AS (SELECT country, term, df, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM (SELECT country, term, count(*) AS df FROM {out}_c GROUP BY ALL) JOIN (SELECT country, count(DISTINCT id) AS n FROM {out}_c GROUP BY ALL) USING (country) WHERE df >= {MIN_DF} AND df <= {max_df}::DOUBLE * n),
 {out}_wq AS (SELECT id, country, term, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY id)) AS w FROM {out}_q JOIN {out}_idf USING (country, term)),
 {out}_wc AS (SELECT id, country, term, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY id)) AS w FROM {out}_c JOIN {out}_idf USING (country, term)),
 {out}_p AS (SELECT a.id AS source1_entity_id, b.id AS candidate_entity_id, round(sum(a.w * b.w), 6) AS score FROM {out}_wq a JOIN {out}_wc b USING (country, term) GROUP BY 1, 2),

@@ -6,7 +6,9 @@ import hashlib
 import json
 import os
 import subprocess
+import tempfile
 import time
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,22 @@ def strings(names: list[str]) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, which driver and executors share; on one machine a temporary one."""
+    if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.conf.set("spark.checkpoint.dir", at := tempfile.mkdtemp(prefix="tessella-"))
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, so that models that pass over it many times, and lost executors,
+    start from files."""
+    df.write.parquet(at := scratch(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def read_tsv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A tab-separated file as it stands: no quoting, no missing values, every column a string; '' for empty fields.
     Compressed files are read too, each by one task: convert() large ones once."""

@@ -12,8 +12,10 @@ from tessella.operators import competition as C
 from tessella.operators import contracts as K
 from tessella.operators import decisions as D
 from tessella.operators import evaluation as E
+from tessella.operators import features as X
 from tessella.operators import models as M
 from tessella.operators import sampling as P
+from tessella.operators.contracts import ContractError
 
 REC = "entity_id string, business_name string, business_address string, country string"
 PAIRS = "source1_entity_id string, candidate_entity_id string"
@@ -256,3 +258,47 @@ def test_fitted_models_are_saved_with_their_features(spark, tmp_path):
     assert p(again) == p(model)
     with pytest.raises(K.ContractError):
         M.load_fitted(str(tmp_path / "fitted"), ["b", "a"])
+
+
+def test_pairs_without_records(spark):
+    rec = spark.createDataFrame([("S1-1", "a"), ("S2-1", "b")], "entity_id string, business_name string")
+    pairs = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-9")], "source1_entity_id string, candidate_entity_id string")
+    assert [r["b"]["business_name"] for r in X.Records(rec).joined(pairs.limit(1)).collect()] == ["b"]
+    assert X.Records(rec, strict=False).joined(pairs).count() == 1
+    with pytest.raises(Exception, match="no record of S2-9"):
+        X.sides(pairs, rec).collect()
+
+
+def test_named_blockers(spark):
+    rec = spark.createDataFrame([("S1-1", "red fox"), ("S2-1", "red fox"), ("S2-2", "blue fox"), ("S3-3", None)], "entity_id string, business_name string").selectExpr("*", "'US' AS country")
+    index = B.named_blocker("d2", ["business_name"], min_df=1).build_index(rec.where("entity_id > 'S2'"))
+    got = index.candidates(rec.where("entity_id < 'S2'"), 5).orderBy("rank").collect()
+    assert [r["candidate_entity_id"] for r in got] == ["S2-1", "S2-2"] and abs(got[0]["score"] - 1) < 1e-6
+    assert B.named_blocker("word", ["business_name"], min_df=1).candidates(rec.where("entity_id < 'S2'"), rec.where("entity_id > 'S2'"), 1).count() == 1
+    with pytest.raises(KeyError, match="no blocker"):
+        B.named_blocker("none", [])
+    with pytest.raises(ValueError):
+        B.register("d2", B.BLOCKERS["d2"])
+
+
+def test_second_stage_columns(spark):
+    pairs = spark.createDataFrame([("S1-1", "S2-1", 0.9, 1, 0.8), ("S1-1", "S2-2", 0.5, 2, 0.4)], "source1_entity_id string, candidate_entity_id string, score double, rank int, p double")
+    keyed = spark.createDataFrame([("S1-1", "1", "x", "a", "1 2"), ("S2-1", "1", "x", "a", "1 2"), ("S2-2", "1", "", "b", "3")], "entity_id string, n1 string, nn string, na string, nums string")
+    kept = pairs.limit(1).select("source1_entity_id", "candidate_entity_id", *[F.lit(0.5).alias(c) for c in X.KEPT])
+    out = X.second_stage(pairs, keyed, kept)
+    assert X.require_schema(out.select("source1_entity_id", "candidate_entity_id", *X.SECOND_STAGE), X.SECOND_STAGE) is not None and len(X.SECOND_STAGE) == 40
+    a, b = out.orderBy("rank").collect()
+    assert (a["n1_sup"], a["n1_cnt"], a["n1_eq_s1"], b["nn_sup"], b["na_eq_s1"], b["n_tset"]) == (0.4, 1, 1, -1.0, 0, None)
+    with pytest.raises(ContractError, match="differ"):
+        X.require_schema(out, X.SECOND_STAGE)
+
+
+def test_biases_agree_with_one_rule_each(spark):
+    rows = [(f"S1-{i % 7}", f"S2-{i % 11}", ((i * 37) % 101) / 101) for i in range(77)]
+    pairs = spark.createDataFrame(rows, "source1_entity_id string, candidate_entity_id string, p double")
+    truth = pairs.where("p > 0.6").select("source1_entity_id", "candidate_entity_id")
+    uni = pairs.select("source1_entity_id").distinct()
+    got = {(r["bias"], r["owner"]): (r["f05"], r["n_pairs"]) for r in D.bias_sweep(pairs, truth, uni, [-0.5, 0.5]).collect()}
+    for (bias, owner), (f05, n) in got.items():
+        kept = D.select(pairs, D.Rule("p", "efo", bias, owner))
+        assert n == kept.count() and abs(f05 - E.macro(E.scored_entities(uni, truth, kept)).first()["macro_f05"]) < 1e-6
