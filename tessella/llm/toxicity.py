@@ -8,6 +8,7 @@ a block's last bytes), so that what differs is the cost of the window itself; th
 window's distance. A document's largest distances, how many exceed some steps, and its size are calibrated to a
 probability by a logistic curve, fitted on labelled documents that no dictionary saw.
 
+The library's own dictionary trainer gives weaker results (README), so content is chosen here and windows are one word.
 Training uses at most PER_CLASS labelled rows a class, those with the smallest hashes; every document is scored whole.
 Distances of words are remembered in a task, at most CACHE of them.
 Defined cases: a null text is empty; a text without words has distances 0 and the score the curve gives them; labels

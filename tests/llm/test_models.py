@@ -45,6 +45,33 @@ def test_held_out_toxicity(spark, empty):
     assert {r["score"] for r in T.score(df, lab.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_scores_by_a_second_way(spark):
+    """Every score again from the two dictionaries: each window compressed anew, counts and logistic curve by hand."""
+    rows, labels = toxic_corpus(200)
+    long = " ".join(f"w{i % 977}" for i in range(60_000)) + " zzvile qqscum zzfoul"
+    texts = [*rows, (700, long), (701, ""), (702, None), (703, " \n\t"), (704, "zzvile"), rows[3], (rows[4][0], "another text with its id")]
+    lab = spark.createDataFrame([*labels, (None, 1, 1)], "doc_id long, quality int, toxic int")
+    df = frame(spark, texts, extra=True).repartition(3)
+    model = T.Classifier(*T.training_rows(df, lab.where(T.fold(5) != 0), T.PER_CLASS))
+    ordinary, toxic = map(T.compressor, model.dictionaries)
+
+    def expected(text):
+        d = []
+        for w in (text or "").encode().split():
+            block = T.CARRIER + b" " + w + b" " + T.TRAILER
+            d.append(len(ordinary.compress(block)) - len(toxic.compress(block)))
+        best = sorted(d)[::-1][: T.TOP]
+        x = [max(0, v) for v in best] + [0] * (T.TOP - len(best)) + [math.log(1 + len(d))]
+        many = [sum(v >= step for v in d) for step in T.STEPS]
+        x += [4 * math.log(1 + n) for n in many] + [80 * n / (len(d) + 10) for n in many]
+        z = sum(v / 8 * c for v, c in zip(x, model.curve, strict=False)) + model.curve[-1]
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    got = sorted((str(r["doc_id"]), r["score"]) for r in T.score(df, lab).collect())
+    want = sorted((str(i), expected(t)) for i, t in texts)
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1] for x in got], [x[1] for x in want], atol=1e-9)
+
+
 def tokens(text):
     t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x20\x09-\x0D]+", t) + [""]
