@@ -13,14 +13,17 @@ table gives an empty mixture. All input columns pass through; `copy` and `mix_ke
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut
 
 SEED = 17
-#: A rates table of at most so many rows is broadcast; a larger one meets salted documents instead.
-BROADCAST_ROWS = 10_000
+#: A rates table of at most so many rows and numbers of distribution functions (8 bytes each) is broadcast; a larger one
+#: meets salted documents instead.
+BROADCAST_ROWS, BROADCAST_NUMBERS = 10_000, 2_000_000
 SALTS = 64
 
 
@@ -39,17 +42,28 @@ def tempered(docs: DataFrame, exponent: float = 0.5) -> DataFrame:
 
 
 def rates(docs: DataFrame, weights: DataFrame, budget: float | None = None) -> DataFrame:
-    """(_source, _rate, _cdf): the mean repetition and the distribution function up to where a double reaches 1."""
+    """(_source, _rate, _from, _cdf): the mean repetition and the distribution function from the count _from on, to where a
+    double reaches 1. _from is 0 for rates under 1,000; else counts under it, 12 deviations and 40 below the mean, have
+    chances that a double can not add to the rest, so a tiny source of a huge mixture needs some roots of its rate."""
     w = weights.where("weight > 0").select(F.col("source").alias("_w_source"), F.col("weight").cast("double").alias("_weight"))
     each = cut(sizes(docs), "sizes")
     has = cut(each.join(w, F.col("_source").eqNullSafe(F.col("_w_source"))).drop("_w_source"), "weighted")
     shares, size = has.agg(F.sum("_weight")).first()[0] or 1.0, budget or each.agg(F.sum("_size")).first()[0] or 0.0  # two numbers
     r = has.select("_source", (F.col("_weight") / F.lit(shares) * F.lit(float(size)) / F.col("_size")).alias("_rate"))
-    k = r.select("_source", "_rate", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_rate") + 12 * F.sqrt("_rate") + 40).cast("int"))).alias("_k"))
+    wide = 12 * F.sqrt("_rate") + 40
+    r = r.withColumn("_from", F.when(F.col("_rate") < 1000, F.lit(0)).otherwise(F.floor(F.col("_rate") - wide)).cast("long"))
+    k = r.select("_source", "_rate", "_from", F.explode(F.sequence("_from", F.ceil(F.col("_rate") + wide).cast("long"))).alias("_k"))
     upto = Window.partitionBy("_source").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    k = k.withColumn("_p", F.exp(F.col("_k") * F.log("_rate") - F.col("_rate") - F.sum(F.log(F.greatest(F.col("_k"), F.lit(1)))).over(upto)))
+    k = k.withColumn("_p", F.exp(F.col("_k") * F.log("_rate") - F.col("_rate") - log_factorial("_from") - F.sum(F.when(F.col("_k") > F.col("_from"), F.log("_k")).otherwise(F.lit(0.0))).over(upto)))
     k = k.withColumn("_c", F.sum("_p").over(upto))
-    return k.groupBy("_source").agg(F.first("_rate").alias("_rate"), F.expr("transform(array_sort(collect_list(struct(_k, _c))), x -> x._c)").alias("_cdf"))
+    return k.groupBy("_source").agg(F.first("_rate").alias("_rate"), F.first("_from").alias("_from"), F.expr("transform(array_sort(collect_list(struct(_k, _c))), x -> x._c)").alias("_cdf"))
+
+
+def log_factorial(n: str) -> Column:
+    """ln n! by Stirling's series, 0 for 0. Other n are over 500 here, where these terms are exact to a double."""
+    x = F.col(n).cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3)))
+    return F.when(x >= 1, series).otherwise(F.lit(0.0))
 
 
 def replicate(docs: DataFrame, weights: DataFrame, budget: float | None = None, seed: int = SEED, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -60,17 +74,17 @@ def replicate(docs: DataFrame, weights: DataFrame, budget: float | None = None,
     columns = [c for c in docs.columns if c not in ("copy", "mix_key")]
     row = F.struct(*[F.col(f"`{c}`") for c in columns])  # apart from the names used here
     plain = docs.select("doc_id", "source", row.alias("_row"))
-    table = rates(docs.select("source", "text"), weights, budget)
+    table = cut(rates(docs.select("source", "text"), weights, budget), "rates")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    few = table.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if few:
+    rows, numbers = table.agg(F.count("*"), F.coalesce(F.sum(F.size("_cdf")), F.lit(0))).first()  # two numbers
+    if rows <= broadcast_rows and numbers <= BROADCAST_NUMBERS:
         met = plain.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")))
     else:
         salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = plain.withColumn("_at", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_salt")))
-    n = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
+    n = F.col("_from") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     many = met.withColumn("_u", uniform(F.lit(str(seed)), key)).withColumn("_n", n).where("_n > 0")
-    out = many.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    out = many.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     out = out.select(*[F.col("_row").getField(c).alias(c) for c in columns], F.col("copy").cast("long").alias("copy"), F.md5(F.concat_ws("|", F.lit(f"{seed}s"), key, F.col("copy").cast("string"))).alias("mix_key"))
     return out.repartition("mix_key").sortWithinPartitions("mix_key")
 

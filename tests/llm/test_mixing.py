@@ -47,3 +47,24 @@ def test_weights_and_edges(spark, docs, empty):
     assert M.replicate(empty, one).count() == 0
     big = M.replicate(frame(spark, [(i * 3 + 1, "x" * 9) for i in range(4)]), spark.createDataFrame([("src1", 1.0)], "source string, weight double"), budget=40_000.0)
     assert abs(big.count() - 4000) < 300
+
+
+def test_large_rates(spark):
+    """Counts at a rate of 30,000, by the distribution function in exact steps of its logarithm."""
+    import hashlib
+
+    rate, got = 30_000.0, {}
+    docs = frame(spark, [(i * 3 + 1, "x" * 9) for i in range(12)])
+    out = M.replicate(docs, spark.createDataFrame([("src1", 1.0)], "source string, weight double"), budget=rate * 120)
+    got = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert out.where("copy < 0").isEmpty()
+    assert M.rates(docs, spark.createDataFrame([("src1", 1.0)], "source string, weight double"), rate * 120).select(F.size("_cdf")).first()[0] < 30 * rate**0.5
+    for i, n in got.items():
+        u = int(hashlib.md5(f"{M.SEED}|{i}".encode()).hexdigest()[:13], 16) / 2**52
+        k, c = 0, 0.0
+        while True:
+            c += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            if c > u:
+                break
+            k += 1
+        assert abs(k - n) <= (abs(c - u) < 1e-8)
