@@ -9,7 +9,9 @@ import sys
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from math import isqrt
 
 from pyspark import Broadcast, cloudpickle
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: The contracts' word: a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tables of cut() inside the innermost passing().
+_written: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +57,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = write_table(df, name)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if (own := _written.get()) is not None:
+        own.append(out)
     return out
 
 
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What cut() writes inside is deleted at the end, but for the tables handed to the function this gives. A result that
+    leaves the block must read only from those."""
+    outer, own, stay = _written.get(), [], []
+    token = _written.set(own)
+    try:
+        yield lambda t: stay.append(t._written_to) or t
+    finally:
+        _written.reset(token)
+        for t in own:
+            if t._written_to not in stay:
+                drop_table(t.sparkSession, t._written_to)
+            elif outer is not None:
+                outer.append(t)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of cut() that no plan reads any more."""
     for t in tables:

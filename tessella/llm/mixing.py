@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import cut, passing
 
 SEED = 17
 #: A rates table of at most so many rows and numbers of distribution functions (8 bytes each) is broadcast; a larger one
@@ -74,7 +74,8 @@ def replicate(docs: DataFrame, weights: DataFrame, budget: float | None = None,
     columns = [c for c in docs.columns if c not in ("copy", "mix_key")]
     row = F.struct(*[F.col(f"`{c}`") for c in columns])  # apart from the names used here
     plain = docs.select("doc_id", "source", row.alias("_row"))
-    table = cut(rates(docs.select("source", "text"), weights, budget), "rates")
+    with passing() as kept:
+        table = kept(cut(rates(docs.select("source", "text"), weights, budget), "rates"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows, numbers = table.agg(F.count("*"), F.coalesce(F.sum(F.size("_cdf")), F.lit(0))).first()  # two numbers
     if rows <= broadcast_rows and numbers <= BROADCAST_NUMBERS:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, fresh, release, table
+from tessella.llm.common import cut, fresh, passing, release, table
 from tessella.llm.components import components
 
 K, ORDER, SKETCHES, BINS, SIMILARITY, SEED = 5, 8, 60, 128, 0.8, 11
@@ -292,12 +292,18 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
 
 def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (fp, doc_id), and texts (fp, text_id, class_id, leads); in each class one text leads."""
+    with passing() as kept:
+        rows, texts = _classed(docs)
+        return kept(rows), kept(texts)
+
+
+def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = sketched(docs)
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")), "nodes")
     edges = links(docs, nodes)
     ids = nodes.select("fp", F.col("first_id").alias("text_id"))
     if edges is None:
-        return rows, ids.withColumns({"class_id": F.col("text_id"), "leads": F.lit(True)})
+        return rows, cut(ids.withColumns({"class_id": F.col("text_id"), "leads": F.lit(True)}), "classes")
     labels = cut(ids.join(components(edges).withColumnRenamed("node", "fp"), "fp"), "labelled")
     first = F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "fp"))
     least = cut(labels.groupBy("label").agg(first.alias("first")), "least")

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, cut, shared_dir
+from tessella.llm.common import WORD, cut, discard, shared_dir
 
 KEY = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
@@ -133,6 +133,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rollup.apply("insert", feed(counted, "insert", None, "old"))
         rollup.apply("revise", feed(counted.where("revised"), "revise", "old", "new"))
         rollup.apply("delete-copies", feed(later, "delete", "new", None))
+    discard(counted, many)
     rollup.compact()
     return rollup.totals()
 
