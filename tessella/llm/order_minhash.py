@@ -182,6 +182,17 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows whose fp may be one of wanted's: all that are, and few others. The filter has one bit for each of 2^25 hashes,
+    4 MB at any size; a join must follow."""
+    bits = lambda fp: (F.pmod(F.xxhash64(fp), F.lit(1024)), F.pmod(F.shiftright(F.xxhash64(fp), 10), F.lit(32768)))
+    part, at = bits("fp")
+    maps = wanted.select(part.alias("_part"), at.alias("_at")).groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    met = rows.withColumns({"_part": part, "_at": at}).join(F.broadcast(maps), "_part")
+    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).select(rows.columns)
+
+
 def deeper(left: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each member in the buckets of its own bucket's key and one of the next sketches."""
     later = F.posexplode(F.slice("sketch", F.col("last") + 2, F.lit(REACH))).alias("_k", "_value")
@@ -262,6 +273,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
 
     flat = nodes.select("fp", F.posexplode("sketch").alias("last", "bucket"))
     sizes = cut(flat.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    release(docs.sparkSession)
     crowd = cut(flat.join(sizes, "bucket"), "crowd")
     shared = cut(crowd.groupBy("fp").agg(F.sum("m").alias("shared")), "shared")
     if shared.isEmpty():
@@ -270,7 +282,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     first = members.where("n > 2")
     wanted = cut(shared.select("fp").join(nodes.select("fp", "first_id"), "fp"), "wanted")
     own = docs.select(fingerprint().alias("fp"), F.col("doc_id").alias("first_id"), "text")
-    some = own.join(wanted.withColumnsRenamed({"fp": "_fp", "first_id": "_id"}).hint("merge"), (F.col("fp") == F.col("_fp")) & F.col("first_id").eqNullSafe(F.col("_id")), "left_semi")
+    same = (F.col("fp") == F.col("_fp")) & F.col("first_id").eqNullSafe(F.col("_id"))
+    some = marked(own, wanted).join(wanted.withColumnsRenamed({"fp": "_fp", "first_id": "_id"}).hint("merge"), same)  # a semi join would be moved before the filter
     texts = cut(some.select("fp", "text").dropDuplicates(["fp"]), "texts")
     release(docs.sparkSession)
     found: list[DataFrame] = []

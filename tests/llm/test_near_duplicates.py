@@ -3,6 +3,7 @@ from itertools import pairwise
 
 import pytest
 from conftest_llm import frame
+from pyspark.sql import functions as F
 
 from tessella.llm import order_minhash as O
 from tessella.llm.components import components
@@ -141,3 +142,30 @@ def test_leftovers_of_a_crowd_without_a_later_common_sketch(spark):
     texts = {"b": " ".join(b), "c": " ".join(edited(b, {40, 120}))} | others
     hub = {0: [["o0", "o1"]], 1: [["o0", "o1"]]}
     assert linked_by(spark, texts, hub | {59: [list(texts)]}) == {frozenset(("b", "c"))}
+
+
+def test_texts_without_a_common_bucket_are_not_shuffled(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{rng.getrandbits(48):x}" for _ in range(2000))) for i in range(300)]
+    rows += [(1000, rows[0][1] + " end"), (1001, rows[1][1] + " end"), (None, rows[2][1]), (None, rows[2][1] + " end")]
+    rows += [rows[0], rows[1]]  # repeated rows
+    docs = frame(spark, rows)
+
+    def written() -> int:
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in O.classes(docs).collect())
+    assert written() - before < sum(len(t) for _, t in rows) / 3
+    want = {"1000": "0", "1001": "1", "None": "2"}
+    assert got == sorted((str(i), want.get(str(i), str(i))) for i, _ in rows)
+
+
+def test_the_filter_of_fingerprints_loses_none(spark):
+    fps = spark.range(20_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("fp"), "id")
+    assert O.marked(fps, fps).count() == 20_000 and O.marked(fps, fps.limit(0)).count() == 0
+    few = fps.where("id % 100 = 0").drop("id")
+    got = {r["id"] for r in O.marked(fps, few).collect()}
+    assert got >= set(range(0, 20_000, 100)) and len(got) < 300
